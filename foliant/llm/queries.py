@@ -54,14 +54,13 @@ m as (select df.field, df.term, tf.total, df.records,
 P3_SQL = r"""
 with latest as (
   select regexp_replace(text_path, '_corrigido\.txt$', '.txt') path,
-    regexp_replace(arg_max(coalesce(body, ''), (text_path like '%\_corrigido.txt' escape '\', ingested_at, length(trim(coalesce(body, ''), e' \t\r\n')))), '\r\n?', e'\n', 'g') nl,
     arg_max(coalesce(body, ''), (text_path like '%\_corrigido.txt' escape '\', ingested_at, length(trim(coalesce(body, ''), e' \t\r\n')))) body
   from page_texts group by 1),
 cased as (select p.id page_id, l.body from pages p join latest l on regexp_replace(p.text_path, '_corrigido\.txt$', '.txt') = l.path
   where length(trim(l.body, e' \t\r\n')) > 1000),
 pieces as (
   select page_id,
-    list_max(list_transform(regexp_split_to_array(body, '(\r\n|\r|\n)([ \t]*(\r\n|\r|\n))+'), lambda x: length(trim(x, e' \t\r\n')))) p,
+    list_max(list_transform(regexp_split_to_array(body, '\r\n([ \t]*\r\n)+|\n([ \t]*\n)+|\r([ \t]*\r)+'), lambda x: length(trim(x, e' \t\r\n')))) p,
     list_max(list_transform(regexp_split_to_array(body, '\r\n|\r|\n'), lambda x: length(trim(x, e' \t\r\n')))) l,
     list_max(list_transform(regexp_split_to_array(regexp_replace(body, '([.!?])\s+', e'\\1\n', 'g'), '\r\n|\r|\n'), lambda x: length(trim(x, e' \t\r\n')))) s,
     list_max(list_transform(regexp_split_to_array(body, '\s+'), lambda x: length(x))) w
