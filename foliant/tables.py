@@ -6,6 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a Parquet table: compressed, and read by column. It is removed when the driver ends."""
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/foliant-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+_SHIPPED: set[str] = set()
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once an application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        at = tempfile.mkdtemp(prefix="foliant-package-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        here = Path(__file__).parent
+        with zipfile.ZipFile(f"{at}/foliant.zip", "w") as z:
+            for f in here.rglob("*.py"):
+                z.write(f, Path("foliant") / f.relative_to(here))
+        sc.addPyFile(f"{at}/foliant.zip")
+    return df.mapInArrow(run, schema)
+
+
 def side_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of `df`; exact after `cut` for what is measured there."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
