@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.tables import local_file
+from foliant.tables import arrow_map, local_file
 
 #: Fixed value: the pre-tokenizer's pattern, which belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -267,7 +267,7 @@ def encode_texts(texts: DataFrame, ident: str, text: str, vocabulary: str = f"{T
     name = f"{shipped._jbroadcast.id()}-{vocabulary}"
     kind = dict(texts.dtypes)[ident]
     rows = texts.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(_Shipped(shipped, name), pattern, cached), f"id {kind}, ids array<int>").withColumnRenamed("id", ident)
+    return arrow_map(rows, _encode(_Shipped(shipped, name), pattern, cached), f"id {kind}, ids array<int>").withColumnRenamed("id", ident)
 
 
 class _Shipped:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.tables import arrow_map
+
 from foliant.llm.lookalike import LIGATURES, skeleton, skeleton_map
 
 #: Items that share one automaton; more are scanned in further passes over the text.
@@ -214,4 +216,4 @@ def leaks(texts: DataFrame, items: DataFrame, ident: str = "doc_id", text: str =
     shipped = texts.sparkSession.sparkContext.broadcast(sorted(some, key=lambda x: (x[0] is None, x[0])))
     name = f"{shipped._jbroadcast.id()}-{len(some)}"
     rows = texts.select(F.col(ident).alias("doc_id"), letters_column(F.col(text)).alias("letters"), *([F.col(text).alias("text")] if with_offsets else [])).where("letters <> ''")
-    return rows.mapInArrow(_scan(shipped, name, share, block, with_offsets), _FOUND.format(kind=dict(rows.dtypes)["doc_id"], item="bigint"))
+    return arrow_map(rows, _scan(shipped, name, share, block, with_offsets), _FOUND.format(kind=dict(rows.dtypes)["doc_id"], item="bigint"))

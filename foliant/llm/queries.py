@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, leakage, lookalike, splitting, survivorship, terms
+from foliant.llm import bpe, leakage, lookalike, scans, splitting, survivorship, terms
 from foliant.registry import Registry
 from foliant.tables import table
 
@@ -103,6 +103,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.posexplode("pieces").alias("piece", "p")).select("page_id", "piece", "p.start", "p.end", "p.kind", "p.text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_findings(table(spark, d, "entity_mentions"), table(spark, d, "parish_records"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_texts(table(spark, d, "entity_mentions"), table(spark, d, "parish_records"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -131,6 +139,8 @@ def register(to: Registry) -> None:
     to.add("p2_terms", p2_terms, P2_TERMS_SQL + "select field, term, total, records, mark from m")
     to.add("p3_found", p3_found, P3_SQL)
     to.add("p3_pieces", p3_pieces)
+    to.add("p5_found", p5_found)
+    to.add("p5_texts", p5_texts)
     to.add("p7_ids", p7_ids)
     to.add("p8_found", p8_found)
     to.add("p8_passages", p8_passages)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.tables import arrow_map
+
 #: Terms of a suffix that are kept; the operator counts all sequences up to this length.
 MAX_TERMS = 3
 #: Groups into which the suffixes of one first term are split, by their second term.
@@ -128,7 +130,7 @@ def gram_counts(rows: DataFrame, max_terms: int = MAX_TERMS, salts: int = SALTS)
     (see truncated_suffixes), so memory doesn't grow with the rows.
     """
     clean = rows.select("field", F.filter("terms", lambda t: t.isNotNull()).alias("terms"), F.col("n").cast("long").alias("n")).where("size(terms) > 0")
-    suffixes = clean.mapInArrow(_emit(max_terms), _ROUTED)
+    suffixes = arrow_map(clean, _emit(max_terms), _ROUTED)
     routed = (
         suffixes.withColumn("first", F.col("suffix")[0])
         .withColumn("salt", F.pmod(F.xxhash64(F.coalesce(F.get("suffix", F.lit(1)), F.lit(""))), F.lit(salts)))
@@ -136,7 +138,7 @@ def gram_counts(rows: DataFrame, max_terms: int = MAX_TERMS, salts: int = SALTS)
         .sortWithinPartitions("field", F.col("suffix").desc())
         .select("field", "suffix", "seen", "n")
     )
-    return routed.mapInArrow(_fold, _COUNTED).groupBy("field", "gram").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
+    return arrow_map(routed, _fold, _COUNTED).groupBy("field", "gram").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
 
 def mention_and_predicate_terms(mentions: DataFrame, relations: DataFrame) -> DataFrame:
