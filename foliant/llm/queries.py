@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, leakage, lookalike, scans, splitting, survivorship, terms
+from foliant.llm import bpe, leakage, lookalike, matching, scans, splitting, survivorship, terms, variants
 from foliant.registry import Registry
 from foliant.tables import table
 
@@ -103,6 +103,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.posexplode("pieces").alias("piece", "p")).select("page_id", "piece", "p.start", "p.end", "p.kind", "p.text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.same_entity_pairs(table(spark, d, "entities"), table(spark, d, "entity_mentions"))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return variants.same_entities(table(spark, d, "entities"), table(spark, d, "entity_mentions"))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_people(table(spark, d, "parish_records"), table(spark, d, "entities"), table(spark, d, "entity_mentions"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).where("confidence >= 0.5").select("parish_record_id", "entity_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_findings(table(spark, d, "entity_mentions"), table(spark, d, "parish_records"))
 
@@ -139,6 +155,10 @@ def register(to: Registry) -> None:
     to.add("p2_terms", p2_terms, P2_TERMS_SQL + "select field, term, total, records, mark from m")
     to.add("p3_found", p3_found, P3_SQL)
     to.add("p3_pieces", p3_pieces)
+    to.add("p4_found", p4_found)
+    to.add("p4_clusters", p4_clusters)
+    to.add("p6_found", p6_found)
+    to.add("p6_links", p6_links)
     to.add("p5_found", p5_found)
     to.add("p5_texts", p5_texts)
     to.add("p7_ids", p7_ids)
