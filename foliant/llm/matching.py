@@ -75,14 +75,16 @@ def _name(text: str | None) -> list[str] | None:
     return got[0] if got else None
 
 
-def head_keys(head: str) -> list[str]:
-    """The head and what is left of it without one letter: heads one edit apart share one of them."""
-    return sorted({"h:" + head, *("h:" + head[:i] + head[i + 1 :] for i in range(len(head)))} if len(head) > 3 else {"h:" + head})
+def head_keys(tokens: list[str]) -> list[str]:
+    """The surname, and what is left of it without one letter, each with the initial: surnames one edit apart share one of them."""
+    head, initial = tokens[-1], tokens[0][:1]
+    forms = {head, *(head[:i] + head[i + 1 :] for i in range(len(head)))} if len(head) > 3 else {head}
+    return sorted(f"{initial}:{x}" for x in forms)
 
 
 def terms_of(tokens: list[str], father: list[str] | None, place: str | None) -> list[str]:
     """The index terms of a person: surname, given names, their initials, the father's names and the place."""
-    out = set(head_keys(tokens[-1]))
+    out = {"s:" + tokens[-1]}
     for t in tokens[:-1]:
         out.add("i:" + t[:1])
         if names.is_full(t):
@@ -112,11 +114,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "tokens", "suffix", "father", "place", "b0", "b1", "died"])
 
 
+_INDEXED = "id bigint, keys array<string>, terms array<string>"
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tokens, father, place) -> (id, terms)."""
+    """(id, tokens, father, place) -> (id, keys, terms)."""
     for b in batches:
-        terms = [terms_of(t, f, p) for t, f, p in zip(*(b.column(k).to_pylist() for k in range(1, 4)))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.string()))], names=["id", "terms"])
+        rows = list(zip(*(b.column(k).to_pylist() for k in range(1, 4))))
+        keys, terms = [head_keys(t) for t, _, _ in rows], [terms_of(*r) for r in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["id", "keys", "terms"])
 
 
 def _named(rows: DataFrame, known: DataFrame, col: str) -> DataFrame:
@@ -125,20 +131,20 @@ def _named(rows: DataFrame, known: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, F.when(F.col("name").isNotNull() & (F.size(col) > 1), F.concat(F.array("name"), F.slice(col, 2, 50))).otherwise(F.col(col))).drop("nick", "name")
 
 
-def retrieve(queries: DataFrame, documents: DataFrame, k: int = TOP, essential: str = "h:") -> DataFrame:
+def retrieve(queries: DataFrame, documents: DataFrame, k: int = TOP) -> DataFrame:
     """(query, doc, score, place_in_rank) of the k best documents of each query by BM25, with ties; exactly the best among those that can match.
 
-    Both sides: (id, terms array<string>). The index is inverted: a query meets the postings of its essential terms only, the
-    deletion forms of the surname; a document that shares none of them can't pass the later
-    name test, so no document that could is pruned. All terms count for the score.
+    Both sides: (id, keys, terms). The index is inverted: a query meets the postings of its keys, the deletion
+    forms of the surname with the initial; a document that shares none of them can't pass the name test that
+    follows, so none that could is pruned. The scores are summed over the postings of all terms.
     """
     size = documents.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
-    postings = documents.select(F.col("id").alias("doc"), F.explode("terms").alias("term"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = frequency.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+    frequency = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = frequency.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast("float").alias("idf"))  # one row
     asked = queries.select(F.col("id").alias("query"), F.explode("terms").alias("term"))
     weighed = asked.join(weights, "term").groupBy("query").agg(F.collect_list(F.struct("term", "idf")).alias("q"))
-    cand = asked.where(F.col("term").startswith(essential)).join(postings.where(F.col("term").startswith(essential)), "term").select("query", "doc").distinct()
+    met = queries.select(F.col("id").alias("query"), F.explode("keys").alias("key")).join(documents.select(F.col("id").alias("doc"), F.explode("keys").alias("key")), "key")
+    cand = met.select("query", "doc").distinct()
     full = cand.join(weighed, "query").join(documents.select(F.col("id").alias("doc"), F.col("terms").alias("d")), "doc").join(F.broadcast(size.select("mean")))
     hit = F.aggregate(F.filter("q", lambda t: F.array_contains("d", t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
     scored = full.select("query", "doc", (hit * (K1 + 1) / (1 + K1 * (1 - B + B * F.size("d") / F.col("mean")))).alias("score"))
@@ -218,8 +224,8 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     known = nicknames(forms)
     records = cut(_named(_named(arrow_map(rows, _records, _RECORD).dropDuplicates(["id"]), known, "tokens"), known, "father"))
     found = retrieve(
-        arrow_map(records.select("id", "tokens", "father", "place"), _terms, "id bigint, terms array<string>"),
-        cut(arrow_map(docs.select("id", "tokens", "father", "place"), _terms, "id bigint, terms array<string>")),
+        arrow_map(records.select("id", "tokens", "father", "place"), _terms, _INDEXED),
+        cut(arrow_map(docs.select("id", "tokens", "father", "place"), _terms, _INDEXED)),
     )
     left = records.select(F.col("id").alias("query"), F.struct("tokens", "suffix", "father", "place", "b0", "b1", "died").alias("r"))
     right = docs.select(F.col("id").alias("doc"), F.struct("tokens", "suffix", "father", "place", "lo", "hi").alias("d"))
