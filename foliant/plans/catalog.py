@@ -1,10 +1,13 @@
-"""All queries of the core."""
+"""All queries of the core; the llm package adds its own where it is there."""
 
 from __future__ import annotations
 
+from foliant.plans import relational
 from foliant.registry import Registry
 
 
 def core() -> Registry:
-    """The core's queries; the llm package adds its own where it is there."""
-    return Registry()
+    """The core's queries."""
+    reg = Registry()
+    relational.register(reg)
+    return reg
