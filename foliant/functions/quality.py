@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import clean_text, normalize_name, strip_accents
+from foliant.functions.text import normalize_name, strip_accents
 
 #: Vocabularies of the noise rules, normalised.
 VESSELS = ["sumaca", "barca", "barco", "bergantim", "corveta", "escuna", "fragata", "galeota", "navio", "vapor"]
@@ -45,8 +45,8 @@ def real_word_ratio(text: Column, letters: int = 2) -> Column:
 
 
 def ocr_metrics(text: Column) -> dict[str, Column]:
-    """chars, lines, words, valid_word_ratio, short_line_ratio, odd_char_ratio, upper_ratio and score of clean_text(text)."""
-    t = clean_text(F.coalesce(text, F.lit("")))
+    """chars, valid_word_ratio, short_line_ratio, odd_char_ratio and score of a text that clean_text() has gone over."""
+    t = text
     lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     long = F.filter(words, lambda w: F.length(w) >= 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import relational
+from foliant.plans import relational, textual
 from foliant.registry import Registry
 
 
@@ -10,4 +10,5 @@ def core() -> Registry:
     """The core's queries."""
     reg = Registry()
     relational.register(reg)
+    textual.register(reg)
     return reg
