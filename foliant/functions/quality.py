@@ -46,7 +46,12 @@ def real_word_ratio(text: Column, letters: int = 2) -> Column:
 
 def ocr_metrics(text: Column) -> dict[str, Column]:
     """chars, valid_word_ratio, short_line_ratio, odd_char_ratio and score of a text that clean_text() has gone over."""
-    t = text
+    # the text is bound once, as the element of an array of one
+    found = F.transform(F.array(text), lambda t: F.struct(*[v.alias(k) for k, v in _metrics(t).items()]))[0]
+    return {k: found[k] for k in ("chars", "valid_word_ratio", "short_line_ratio", "odd_char_ratio", "score")}
+
+
+def _metrics(t: Column) -> dict[str, Column]:
     lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     long = F.filter(words, lambda w: F.length(w) >= 3)

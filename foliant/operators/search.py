@@ -23,15 +23,18 @@ SHARE, LIKE = 0.6, 0.84
 def exact_score(text: Column, tokens: list[str]) -> Column:
     """0.6 coverage + 0.2 phrase + 0.1 order + 0.1 compactness over a text in normalize_text() form, tokens taken as they are."""
     n = len(tokens)
-    words = F.split(F.coalesce(text, F.lit("")), " ")
-    at = F.filter(F.array(*[F.nullif(F.array_position(words, F.lit(t)), F.lit(0)) for t in tokens]), lambda x: x.isNotNull())
-    found = F.size(at)
-    phrase = F.contains(F.array_join(words, " "), F.lit(" ".join(tokens))).cast("double")
-    order = F.when(found < 2, 0.0).when(at == F.array_sort(at), 1.0).otherwise(0.35)
-    span = F.array_max(at) - F.array_min(at) + 1
-    tight = F.when(found < 2, 0.0).otherwise(1 - F.least(span, F.lit(40)) / 40)
-    score = 0.6 * found / n + 0.2 * phrase + 0.1 * order + 0.1 * tight
-    return F.when(found >= math.ceil(SHARE * n), F.round(score, 4)).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        at = F.filter(F.array(*[F.nullif(F.array_position(words, F.lit(t)), F.lit(0)) for t in tokens]), lambda x: x.isNotNull())
+        found = F.size(at)
+        phrase = F.contains(F.array_join(words, " "), F.lit(" ".join(tokens))).cast("double")
+        order = F.when(found < 2, 0.0).when(at == F.array_sort(at), 1.0).otherwise(0.35)
+        span = F.array_max(at) - F.array_min(at) + 1
+        tight = F.when(found < 2, 0.0).otherwise(1 - F.least(span, F.lit(40)) / 40)
+        return F.when(found >= math.ceil(SHARE * n), F.round(0.6 * found / n + 0.2 * phrase + 0.1 * order + 0.1 * tight, 4)).otherwise(0.0)
+
+    # the words are bound once, as the element of an array of one
+    return F.transform(F.array(F.split(F.coalesce(text, F.lit("")), " ")), score)[0]
 
 
 @lru_cache(maxsize=200_000)

@@ -11,9 +11,9 @@ from foliant.tables import _checkpoint_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream."""
+    """The events as a file stream; the pattern lets the table be one file or a folder of them."""
     path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
