@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import relational, textual
+from foliant.plans import more, relational, textual
 from foliant.registry import Registry
 
 
@@ -11,4 +11,5 @@ def core() -> Registry:
     reg = Registry()
     relational.register(reg)
     textual.register(reg)
+    more.register(reg)
     return reg
