@@ -40,38 +40,50 @@ WORD = r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'-]{1,}"
 def real_word_ratio(text: Column, letters: int = 2) -> Column:
     """The share of tokens with so many letters at least."""
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    real = F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]", "")) >= letters)
+    real = F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]+", "")) >= letters)
     return F.size(real) / F.nullif(F.size(tokens), F.lit(0))
 
 
 def ocr_metrics(text: Column) -> dict[str, Column]:
     """chars, valid_word_ratio, short_line_ratio, odd_char_ratio and score of a text that clean_text() has gone over."""
-    # the text is bound once, as the element of an array of one
-    found = F.transform(F.array(text), lambda t: F.struct(*[v.alias(k) for k, v in _metrics(t).items()]))[0]
+    # text and counts are bound once each, as the element of an array of one
+    counts = F.transform(F.array(text), _counts)[0]
+    found = F.transform(F.array(counts), _scores)[0]
     return {k: found[k] for k in ("chars", "valid_word_ratio", "short_line_ratio", "odd_char_ratio", "score")}
 
 
-def _metrics(t: Column) -> dict[str, Column]:
+def _counts(t: Column) -> Column:
     lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    long = F.filter(words, lambda w: F.length(w) >= 3)
-    valid = F.size(F.filter(long, lambda w: w.rlike(VOWELS)))
-    chars, n_lines = F.length(t), F.size(lines)
-    vwr = F.coalesce(valid / F.nullif(F.size(long), F.lit(0)), F.lit(0.0))
-    short = F.coalesce(F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, "[^A-Za-zÀ-ÿ]", "")) < 8)) / F.nullif(n_lines, F.lit(0)), F.lit(1.0))
-    odd = F.coalesce(F.length(F.regexp_replace(t, r"""[A-Za-zÀ-ÿ0-9\s,.;:!?()'"-]""", "")) / F.nullif(chars, F.lit(0)), F.lit(0.0))
-    letters = F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]", ""))
-    upper = F.coalesce(F.length(F.regexp_replace(t, "[^A-ZÀ-Þ]", "")) / F.nullif(letters, F.lit(0)), F.lit(0.0))
+    n = lambda c, name: c.cast("double").alias(name)
+    return F.struct(
+        n(F.length(t), "chars"),
+        n(F.size(lines), "lines"),
+        n(F.size(F.filter(words, lambda w: F.length(w) >= 3)), "long"),
+        n(F.size(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(VOWELS))), "valid"),
+        n(F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, "[^A-Za-zÀ-ÿ]+", "")) < 8)), "short"),
+        n(F.length(F.regexp_replace(t, r"""[A-Za-zÀ-ÿ0-9\s,.;:!?()'"-]+""", "")), "odd"),
+        n(F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]+", "")), "letters"),
+        n(F.length(F.regexp_replace(t, "[^A-ZÀ-Þ]+", "")), "upper"),
+    )
+
+
+def _scores(c: Column) -> Column:
+    per = lambda x, y, none: F.coalesce(c[x] / F.nullif(c[y], F.lit(0.0)), F.lit(none))
+    vwr, short, odd, upper = per("valid", "long", 0.0), per("short", "lines", 1.0), per("odd", "chars", 0.0), per("upper", "letters", 0.0)
     score = (
         0.52 * vwr
-        + 0.18 * F.least(valid / 120, F.lit(1.0))
-        + 0.14 * F.least(F.coalesce(chars / F.nullif(n_lines, F.lit(0)), F.lit(0.0)) / 50, F.lit(1.0))
+        + 0.18 * F.least(c["valid"] / 120, F.lit(1.0))
+        + 0.14 * F.least(per("chars", "lines", 0.0) / 50, F.lit(1.0))
         + 0.10 * (1 - short)
         + 0.06 * F.greatest(F.lit(0.0), 1 - 8 * odd)
     )
-    score = score * F.when(chars < 120, 0.55).otherwise(1.0) * F.when((upper > 0.72) & (vwr < 0.55), 0.8).otherwise(1.0)
-    score = F.when(chars == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    return {"chars": chars.cast("long"), "valid_word_ratio": F.round(vwr, 4), "short_line_ratio": F.round(short, 4), "odd_char_ratio": F.round(odd, 4), "score": F.round(score, 4)}
+    score = score * F.when(c["chars"] < 120, 0.55).otherwise(1.0) * F.when((upper > 0.72) & (vwr < 0.55), 0.8).otherwise(1.0)
+    score = F.when(c["chars"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return F.struct(
+        c["chars"].cast("long").alias("chars"), F.round(vwr, 4).alias("valid_word_ratio"), F.round(short, 4).alias("short_line_ratio"),
+        F.round(odd, 4).alias("odd_char_ratio"), F.round(score, 4).alias("score"),
+    )
 
 
 def _has(tokens: Column, words: list[str]) -> Column:

@@ -76,7 +76,7 @@ def focus_query(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Lines with two letters or digits at least, trimmed; runs of empty lines and spaces shortened."""
     lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    kept = F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) >= 2)
+    kept = F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), " {3,}", " "))
 
 
