@@ -22,6 +22,8 @@ TOP = 5
 AGE_FROM, AGE_TO = 13, 92
 #: Ages at marriage and at death.
 MARRY_FROM, MARRY_TO, OLDEST = 14, 55, 95
+#: Confidence from which a document that is not its record's nearest is kept.
+SURE = 0.5
 #: Pairs whose two fathers are known on which the calibration is fitted, at most.
 CALIBRATION_ROWS = 20_000
 
@@ -186,6 +188,14 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(ok, pa.bool_())).select(["query", "doc", "confidence"])
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """`pairs` with n, the place among the documents of the query, and gap, the score's distance from the best other one's as a share of the greater."""
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    other = F.when(F.col("n") == 1, F.coalesce(F.col("second"), F.lit(0.0))).otherwise(F.col("top"))
+    ranked = pairs.withColumns({"n": F.row_number().over(by), "second": F.lead("score").over(by), "top": F.first("score").over(by)})
+    return ranked.withColumn("gap", (F.col("score") - other) / F.greatest("score", other)).drop("second", "top")
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights of a logistic model with intercept, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -204,10 +214,10 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     """(parish_record_id, entity_id, confidence): the record's person and the row of entities are the same.
 
     Rows of entities that mean one person (see variants) are one document of an inverted index over names, father and place; each
-    record retrieves its best documents by BM25. A pair stays if names, fathers and times don't contradict each other, if
-    the document is the record's nearest, and if the record is the document's nearest or can be another
-    reading or entry of that one's person. The confidence is a logistic function of the score's gap to the next
-    document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
+    record retrieves its best documents by BM25. Pairs whose names, fathers or times contradict each other go first; of the others stay
+    the record's nearest document and each that is as sure (a person may stand in several documents), where the record is the
+    document's nearest or can be another reading or entry of that one's person. The confidence is a logistic function of the
+    score's gap to the best other document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
     fathers are known: a father that agrees is taken as a true pair, another as a false one. Records without a
     readable name and entities without one match nothing; missing dates, places and fathers contradict nothing.
     """
@@ -234,14 +244,8 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
         *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("tokens", "suffix", "father", "place", "lo", "hi")],
     )
     checked = cut(arrow_map(wide, _check, _PAIR))
-    by_query, by_doc = Window.partitionBy("query").orderBy(F.desc("score")), Window.partitionBy("query")
-    ranked = checked.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("score"), "doc"))).withColumn(
-        "next", F.coalesce(F.max(F.when(F.col("n") > 1, F.col("score"))).over(by_doc), F.lit(0.0))
-    )
-    gap = (F.col("score") - F.col("next")) / F.col("score")
-    first = cut(ranked.where("n = 1").withColumn("gap", gap))
     features = ["gap", "likeness", "full", "extra", "same_place", "timed"]
-    sample = first.where("kin <> 0").orderBy(F.xxhash64("query")).limit(calibration_rows).select(*features, "kin").toPandas()
+    sample = _ranked(checked).where("n = 1 and kin <> 0").orderBy(F.xxhash64("query")).limit(calibration_rows).select(*features, "kin").toPandas()
     if sample.kin.nunique() == 2:
         w = fit_logistic(sample[features].to_numpy(float), (sample.kin == 1).to_numpy(float)).tolist()
     else:
@@ -250,8 +254,9 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     for c, weight in zip(features, w[1:]):
         z = z + F.col(c) * weight
     confidence = F.when(F.col("kin") == 1, F.greatest(1 / (1 + F.exp(-z)), F.lit(0.95))).otherwise(1 / (1 + F.exp(-z)))
-    near = first.where("kin >= 0 and (full > 0 or kin = 1 or same_place = 1 or gap > 0.2)").withColumn("confidence", F.round(confidence, 4))
-    nearest = near.groupBy("doc").agg(F.max_by("query", F.struct("kin", "score", "query")).alias("best"))
+    fits = _ranked(checked.where("kin >= 0")).withColumn("confidence", F.round(confidence, 4))
+    near = cut(fits.where(f"(n = 1 or confidence >= {SURE}) and (full > 0 or kin = 1 or same_place = 1 or gap > 0.2)"))
+    nearest = near.groupBy("doc").agg(F.max_by("query", F.struct("kin", F.col("n") == 1, "score", "query")).alias("best"))
     other = records.select(F.col("id").alias("best"), F.col("father").alias("o_father"), F.col("b0").alias("o0"), F.col("b1").alias("o1"))
     mutual = near.join(nearest, "doc").join(records.select(F.col("id").alias("query"), "father", "b0", "b1"), "query").join(other, "best")
     mutual = arrow_map(mutual.select("query", "doc", "confidence", "father", "b0", "b1", "o_father", "o0", "o1"), _agree, "query bigint, doc bigint, confidence double")

@@ -228,5 +228,27 @@ def test_match_people(spark):
     assert all(0.5 <= c <= 1 for c in got.values())
 
 
+PARISH = "id long, record_type string, event_date string, birth_date string, person_name string, father_name string, place string, source_collection string"
+
+
+def matched(spark, records, people):
+    """The matches of (id, name, father, place) born in 1850 with persons (id, name, hints, first year, last year)."""
+    p = spark.createDataFrame([(i, "baptism", "1850", None, name, father, place, None) for i, name, father, place in records], PARISH)
+    rows = [(i, "person", name, None, '{"identity_hints": ["' + '", "'.join(hints) + '"]}', a, b) for i, name, hints, a, b in people]
+    e = spark.createDataFrame(rows, "id long, type string, canonical_name string, aliases_json string, attributes_json string, first_seen_year string, last_seen_year string")
+    m = spark.createDataFrame([], "entity_id long, surface_form string")
+    return {(r.parish_record_id, r.entity_id) for r in matching.match_people(p, e, m).collect() if r.confidence >= 0.5}
+
+
+def test_contradicting_namesakes_dont_hide_the_person(spark):
+    name = "Leandro Guimarães Ferborante"
+    people = [
+        (1, name, ["family:joaquim tavares", "place:arupitemirim"], "1885", "1885"),
+        (2, name, ["family:p. bezerro"], "1868", "1870"),
+        (3, name, ["family:p. bezerro"], "1905", "1910"),
+    ]
+    assert matched(spark, [(1, name, "Prudencio Bezerra", "Arupitemirim")], people) == {(1, 2), (1, 3)}
+
+
 def test_words_of_items_have_no_marks():
     assert all(re.fullmatch(r"[a-z0-9]+", w) for w in leakage.item_words("Vigário d'Olinda — n.º 12")[:2])
