@@ -16,8 +16,6 @@ from foliant.tables import arrow_map, cut
 
 #: BM25: saturation and length normalisation.
 K1, B = 1.2, 0.5
-#: Candidates kept for each record: the TOP best and whatever ties with the last of them.
-TOP = 5
 #: A person is written about from this age on, and to this many years after birth.
 AGE_FROM, AGE_TO = 13, 92
 #: Ages at marriage and at death.
@@ -70,6 +68,10 @@ def time_fits(lo: int | None, hi: int | None, born: tuple[int | None, int | None
     return lo >= born[0] + AGE_FROM and hi <= born[1] + AGE_TO
 
 
+#: time_fits in SQL, so that pairs of other times never reach a worker.
+TIME_FITS = f"(d.lo is null or r.b0 is null or coalesce(d.lo <= r.died + 2, true) and d.lo >= r.b0 + {AGE_FROM} and d.hi <= r.b1 + {AGE_TO})"
+
+
 def _name(text: str | None) -> list[str] | None:
     if not text or _UNKNOWN.search(text):
         return None
@@ -133,35 +135,32 @@ def _named(rows: DataFrame, known: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, F.when(F.col("name").isNotNull() & (F.size(col) > 1), F.concat(F.array("name"), F.slice(col, 2, 50))).otherwise(F.col(col))).drop("nick", "name")
 
 
-def retrieve(queries: DataFrame, documents: DataFrame, k: int = TOP) -> DataFrame:
-    """(query, doc, score, place_in_rank) of the k best documents of each query by BM25, with ties; exactly the best among those that can match.
+def candidates(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query, doc), distinct: all pairs that share a key. Both sides: (id, keys)."""
+    met = queries.select(F.col("id").alias("query"), F.explode("keys").alias("key")).join(documents.select(F.col("id").alias("doc"), F.explode("keys").alias("key")), "key")
+    return met.select("query", "doc").distinct()
 
-    Both sides: (id, keys, terms). The index is inverted: a query meets the postings of its keys, the deletion
-    forms of the surname with the initial; a document that shares none of them can't pass the name test that
-    follows, so none that could is pruned. The scores are summed over the postings of all terms.
-    """
+
+def scored(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """`pairs` (query, doc, ..) with score, the BM25 of the document for the terms of the query; no pair is dropped. Both sides: (id, terms)."""
     size = documents.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
     frequency = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     weights = frequency.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast("float").alias("idf"))  # one row
     asked = queries.select(F.col("id").alias("query"), F.explode("terms").alias("term"))
     weighed = asked.join(weights, "term").groupBy("query").agg(F.collect_list(F.struct("term", "idf")).alias("q"))
-    met = queries.select(F.col("id").alias("query"), F.explode("keys").alias("key")).join(documents.select(F.col("id").alias("doc"), F.explode("keys").alias("key")), "key")
-    cand = met.select("query", "doc").distinct()
-    full = cand.join(weighed, "query").join(documents.select(F.col("id").alias("doc"), F.col("terms").alias("d")), "doc").join(F.broadcast(size.select("mean")))
+    full = pairs.join(weighed, "query").join(documents.select(F.col("id").alias("doc"), F.col("terms").alias("d")), "doc").join(F.broadcast(size.select("mean")))
     hit = F.aggregate(F.filter("q", lambda t: F.array_contains("d", t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
-    scored = full.select("query", "doc", (hit * (K1 + 1) / (1 + K1 * (1 - B + B * F.size("d") / F.col("mean")))).alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"))
-    return scored.withColumn("place_in_rank", F.rank().over(best)).where(F.col("place_in_rank") <= k)
+    return full.select(*pairs.columns, (hit * (K1 + 1) / (1 + K1 * (1 - B + B * F.size("d") / F.col("mean")))).alias("score"))
 
 
-_PAIR = "query bigint, doc bigint, score double, likeness double, full int, extra int, kin int, same_place int, timed int"
+_PAIR = "query bigint, doc bigint, likeness double, full int, extra int, kin int, same_place int, timed int"
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Name, father and time of each candidate pair; pairs that contradict each other go. kin: 1 same father, -1 another, 0 unknown."""
     for b in batches:
         keep, out = [], []
-        for n, (ta, sa, fa, pl_a, b0, b1, died, tb, sb, fb, pl_b, lo, hi) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3, 16)))):
+        for n, (ta, sa, fa, pl_a, b0, b1, died, tb, sb, fb, pl_b, lo, hi) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 15)))):
             score, full, extra = names.name_match(ta, tb)
             if score == 0 or (sa or "") != (sb or "") or not time_fits(lo, hi, (b0, b1), died):
                 continue
@@ -173,8 +172,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out)) or [[]] * 6
         kinds = [pa.float64()] + [pa.int32()] * 5
         yield pa.RecordBatch.from_arrays(
-            [b.column(k).take(at) for k in range(3)] + [pa.array(c, t) for c, t in zip(cols, kinds)],
-            names=["query", "doc", "score", "likeness", "full", "extra", "kin", "same_place", "timed"],
+            [b.column(k).take(at) for k in range(2)] + [pa.array(c, t) for c, t in zip(cols, kinds)],
+            names=["query", "doc", "likeness", "full", "extra", "kin", "same_place", "timed"],
         )
 
 
@@ -214,7 +213,8 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     """(parish_record_id, entity_id, confidence): the record's person and the row of entities are the same.
 
     Rows of entities that mean one person (see variants) are one document of an inverted index over names, father and place; each
-    record retrieves its best documents by BM25. Pairs whose names, fathers or times contradict each other go first; of the others stay
+    record meets all documents that share a key with it. Pairs whose names, fathers or times contradict each other go first; the others are
+    ranked by BM25, and of them stay
     the record's nearest document and each that is as sure (a person may stand in several documents), where the record is the
     document's nearest or can be another reading or entry of that one's person. The confidence is a logistic function of the
     score's gap to the best other document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
@@ -233,17 +233,16 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     rows = parish.select("id", "record_type", "event_date", "birth_date", "person_name", "father_name", "place", "source_collection").where("id is not null")
     known = nicknames(forms)
     records = cut(_named(_named(arrow_map(rows, _records, _RECORD).dropDuplicates(["id"]), known, "tokens"), known, "father"))
-    found = retrieve(
-        arrow_map(records.select("id", "tokens", "father", "place"), _terms, _INDEXED),
-        cut(arrow_map(docs.select("id", "tokens", "father", "place"), _terms, _INDEXED)),
-    )
+    asked = cut(arrow_map(records.select("id", "tokens", "father", "place"), _terms, _INDEXED))
+    indexed = cut(arrow_map(docs.select("id", "tokens", "father", "place"), _terms, _INDEXED))
     left = records.select(F.col("id").alias("query"), F.struct("tokens", "suffix", "father", "place", "b0", "b1", "died").alias("r"))
     right = docs.select(F.col("id").alias("doc"), F.struct("tokens", "suffix", "father", "place", "lo", "hi").alias("d"))
-    wide = found.join(left, "query").join(right, "doc").select(
-        "query", "doc", "score", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("tokens", "suffix", "father", "place", "b0", "b1", "died")],
+    met = candidates(asked, indexed).join(left, "query").join(right, "doc").where(f"coalesce(r.suffix, '') = coalesce(d.suffix, '') and {TIME_FITS}")
+    wide = met.select(
+        "query", "doc", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("tokens", "suffix", "father", "place", "b0", "b1", "died")],
         *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("tokens", "suffix", "father", "place", "lo", "hi")],
     )
-    checked = cut(arrow_map(wide, _check, _PAIR))
+    checked = cut(scored(arrow_map(wide, _check, _PAIR), asked, indexed))
     features = ["gap", "likeness", "full", "extra", "same_place", "timed"]
     sample = _ranked(checked).where("n = 1 and kin <> 0").orderBy(F.xxhash64("query")).limit(calibration_rows).select(*features, "kin").toPandas()
     if sample.kin.nunique() == 2:

@@ -250,5 +250,14 @@ def test_contradicting_namesakes_dont_hide_the_person(spark):
     assert matched(spark, [(1, name, "Prudencio Bezerra", "Arupitemirim")], people) == {(1, 2), (1, 3)}
 
 
+def test_many_namesakes_dont_crowd_out_the_person(spark):
+    """Eight namesakes of other times are spelt as in the record; the person's own row is misspelt and names no father or place."""
+    name = "Leandro Guimarães Ferborante"
+    people = [(i, name, ["family:joaquim tavares", "place:arupitemirim"], str(1100 + 60 * i), str(1101 + 60 * i)) for i in [*range(7, 12)]]
+    people += [(i, f"Leandro {x} Ferborante", ["place:arupitemirim"], "1780", "1782") for i, x in enumerate(("Castro", "Mello", "Paes"), 20)]
+    people += [(50, "Leandro Guimarães Ferboranti", [], "1885", "1886")]
+    assert matched(spark, [(1, name, "Prudencio Bezerra", "Arupitemirim")], people) == {(1, 50)}
+
+
 def test_words_of_items_have_no_marks():
     assert all(re.fullmatch(r"[a-z0-9]+", w) for w in leakage.item_words("Vigário d'Olinda — n.º 12")[:2])
