@@ -25,7 +25,7 @@ RATIO, RATIO_TWO, LEAST = 20, 60, 5
 #: Letters of a word that can be the right one, at least; of one with two confusions.
 LETTERS, LETTERS_TWO = 4, 6
 
-#: A text with up to so many different weak headers is read with each set of them taken as headers; with more, with all or none.
+#: A text with up to so many different weak headers is read with each set of them taken as headers; with more, again when its titles are known.
 SETS = 5
 HYPHENS = "-¬‐­=⸗‑"
 _LINE = re.compile(r"\r\n|\r|\n")
@@ -137,33 +137,44 @@ def read_text(text: str, titles: frozenset[str] = frozenset()) -> dict:
 
 _PAIR = pa.struct([("l", pa.string()), ("r", pa.string())])
 _EDGE = pa.struct([("kind", pa.string()), ("item", pa.string())])
-_READ = "tid bigint, variant string, sure array<string>, weak array<string>, edges array<struct<kind:string,item:string>>, cuts array<struct<l:string,r:string>>, words array<string>"
+_READ = "tid bigint, variant string, text string, sure array<string>, weak array<string>, edges array<struct<kind:string,item:string>>, cuts array<struct<l:string,r:string>>, words array<string>"
+
+
+def _rows(out: list[tuple[int, str, str | None, dict]]) -> pa.RecordBatch:
+    rows = [x[3] for x in out]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([x[0] for x in out], pa.int64()),
+            pa.array([x[1] for x in out], pa.string()),
+            pa.array([x[2] for x in out], pa.string()),
+            pa.array([r["sure"] for r in rows], pa.list_(pa.string())),
+            pa.array([r["weak"] for r in rows], pa.list_(pa.string())),
+            pa.array([[{"kind": k, "item": i} for k, i in r["edges"]] for r in rows], pa.list_(_EDGE)),
+            pa.array([[{"l": x, "r": y} for x, y in r["cuts"]] for r in rows], pa.list_(_PAIR)),
+            pa.array([r["words"] for r in rows], pa.list_(pa.string())),
+        ],
+        names=["tid", "variant", "text", "sure", "weak", "edges", "cuts", "words"],
+    )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, text) -> a row for each set of weak headers; `text` is carried on only where there are too many sets."""
     for b in batches:
-        out: list[tuple[int, str, dict]] = []
+        out: list[tuple[int, str, str | None, dict]] = []
         for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             r = read_text(text)
             weak = sorted(set(r["weak"]))
-            out.append((tid, "", r))
-            sets = range(1, 2 ** len(weak)) if len(weak) <= SETS else [2 ** len(weak) - 1]
-            for n in sets:
+            out.append((tid, "", text if len(weak) > SETS else None, r))
+            for n in range(1, 2 ** len(weak)) if len(weak) <= SETS else ():
                 titles = [w for k, w in enumerate(weak) if n >> k & 1]
-                out.append((tid, " ".join(titles), read_text(text, frozenset(titles))))
-        rows = [x[2] for x in out]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.string()),
-                pa.array([r["sure"] for r in rows], pa.list_(pa.string())),
-                pa.array([r["weak"] for r in rows], pa.list_(pa.string())),
-                pa.array([[{"kind": k, "item": i} for k, i in r["edges"]] for r in rows], pa.list_(_EDGE)),
-                pa.array([[{"l": x, "r": y} for x, y in r["cuts"]] for r in rows], pa.list_(_PAIR)),
-                pa.array([r["words"] for r in rows], pa.list_(pa.string())),
-            ],
-            names=["tid", "variant", "sure", "weak", "edges", "cuts", "words"],
-        )
+                out.append((tid, " ".join(titles), None, read_text(text, frozenset(titles))))
+        yield _rows(out)
+
+
+def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, text, titles) -> the row of the text's own titles."""
+    for b in batches:
+        yield _rows([(tid, titles, None, read_text(text, frozenset(titles.split(" ")))) for tid, text, titles in zip(*(b.column(k).to_pylist() for k in range(3)))])
 
 
 def char_value(c: str) -> int:
@@ -247,7 +258,9 @@ class Findings:
         known = first.select(F.explode("sure").alias("key")).groupBy("key").count().where("count > 1").select("key")
         weak = first.where("size(weak) > 0").select("tid", F.explode(F.array_distinct("weak")).alias("key"))
         titles = weak.join(known, "key").groupBy("tid").agg(F.array_join(F.array_sort(F.collect_set("key")), " ").alias("titles"))
-        self.reads = both.join(titles, "tid", "left").where("variant = coalesce(titles, '')").select("tid", "edges", "cuts", "words")
+        titles = cut_table(titles)
+        again = cut_table(arrow_map(first.where("text is not null").join(titles, "tid").select("tid", "text", "titles"), _read_again, _READ))
+        self.reads = both.unionByName(again).join(titles, "tid", "left").where("variant = coalesce(titles, '')").select("tid", "edges", "cuts", "words")
         self.words = self.reads.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         self.words = cut_table(self.words)
         seen = self.words.groupBy(F.lower("word").alias("form")).agg(F.sum("n").alias("n"))

@@ -159,6 +159,17 @@ def test_scan_findings(spark):
     assert text == "O conselho da cidade em sessão de hontem approvou a illuminação e 12 pessoas. Roga-se a todos."
 
 
+def test_many_weak_headers_of_which_some_are_titles(spark):
+    heads = ["GAZETA DO NORTE", "CAMARA", "EDITAL", "CORREIO", "ANNUNCIOS", "AVISO", "LEILÃO"]
+    text = "\n".join(f"{h}\nlinha de texto {i} com conse-\nlho" for i, h in enumerate(heads))
+    known = "=== GAZETA DO NORTE ===\nlinha de texto"
+    m = spark.createDataFrame([(1, known), (2, known + " outra"), (3, text)], "id long, source_text string")
+    p = spark.createDataFrame([(1, None)], "id long, raw_text string")
+    got = {(r.kind, r.item) for r in scans.scan_findings(m, p).collect() if r.record_id == 3}
+    assert got == {("running_header", "GAZETA DO NORTE"), ("hyphenation", "conselho")}
+    assert {r.record_id for r in scans.repaired_texts(m, p).collect()} == {1, 2, 3}
+
+
 def test_anagram_hash_is_the_sum_of_its_characters(spark):
     r = spark.createDataFrame([("ação",), ("oãça",), ("",)], "w string").select(scans.anagram_hash(F.col("w")).alias("h")).collect()
     assert r[0].h == r[1].h == sum(map(scans.char_value, "ação")) and r[2].h == 0
