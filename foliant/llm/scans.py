@@ -22,8 +22,8 @@ CONFUSIONS = [
 COMMON = CONFUSIONS[:18]
 #: A word is taken as misread if the word it is confusable with stands in so many times as many texts, and in so many at least.
 RATIO, RATIO_TWO, LEAST = 20, 60, 5
-#: Letters of a word that can be the right one, at least; of one with two confusions.
-LETTERS, LETTERS_TWO = 4, 6
+#: A right word of fewer letters is a short one, with a ratio of its own; letters of a word with two confusions, at least.
+LETTERS, RATIO_SHORT, LETTERS_TWO = 4, 60, 6
 
 #: A text with up to so many different weak headers is read with each set of them taken as headers; with more, again when its titles are known.
 SETS = 5
@@ -219,14 +219,14 @@ def corrections(words: DataFrame, ratio: int = RATIO, ratio_two: int = RATIO_TWO
 
     words: (word, n), n the texts that hold the word. Each word is joined with the frequent ones whose anagram hash differs
     from its own by the value of one or two confusions it may contain; what the hash finds is verified by undoing the
-    confusions, and the right word is the most frequent that is left, of several the last in order. Only words without
-    capitals are looked at: the names of people and places are spelt in many ways that aren't misreadings.
+    confusions, and the right word is the most frequent that is left, of several the last in order. Words are compared as they are
+    written, so a word with capitals needs a frequent one with the same capitals: names are spelt in many ways that aren't misreadings. A
+    word that stands nowhere whole (n = 0) counts as once if it is short or has capitals. A lone digit may be a letter, a lone letter is left
+    as it may be an initial ('Venancio c. Silva'), and a longer number is none.
     """
-    small = words.where((F.lower("word") == F.col("word")) & F.col("word").rlike(r"\p{L}")).withColumn("h", anagram_hash(F.col("word")))
-    right = small.where((F.col("n") >= least) & (F.length("word") >= LETTERS) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select(
-        F.col("word").alias("right"), F.col("n").alias("m"), F.col("h")
-    )
-    one = small.where(F.length("word") >= LETTERS - 1).select("word", "n", F.explode(_steps(CONFUSIONS, F.col("h"))).alias("p")).select("word", "n", F.col("p.k").alias("one"), "p.h")
+    read = words.where(F.col("word").rlike(r"\p{L}|^\d$")).withColumn("h", anagram_hash(F.col("word")))
+    right = read.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("h"))
+    one = read.select("word", "n", F.explode(_steps(CONFUSIONS, F.col("h"))).alias("p")).select("word", "n", F.col("p.k").alias("one"), "p.h")
     two = (
         one.where((F.col("one") < len(COMMON)) & (F.length("word") >= LETTERS_TWO))
         .select("word", "n", "one", F.explode(_steps(COMMON, F.col("h"))).alias("p"))
@@ -234,7 +234,11 @@ def corrections(words: DataFrame, ratio: int = RATIO, ratio_two: int = RATIO_TWO
         .select("word", "n", "one", F.col("p.k").alias("two"), "p.h")
     )
     probe = one.withColumn("two", F.lit(-1)).select("word", "n", "one", "two", "h").unionByName(two)
-    met = probe.join(right, "h").where((F.col("m") >= F.col("n") * F.when(F.col("two") < 0, ratio).otherwise(ratio_two)) & (F.col("word") != F.col("right")))
+    short = F.length("right") < LETTERS
+    times = F.when(F.col("two") >= 0, ratio_two).when(short, RATIO_SHORT).otherwise(ratio)
+    seen = F.when(short | (F.lower("word") != F.col("word")), F.greatest("n", F.lit(1))).otherwise(F.col("n"))
+    initial = (F.length("right") == 1) & F.col("word").rlike(r"\p{L}")
+    met = probe.join(right, "h").where(~initial & (F.col("m") >= seen * times) & (F.col("word") != F.col("right")))
     checked = arrow_map(met.select("word", "right", "one", "two", "m"), _verify, "word string, right string, one int, two int, m bigint")
     return checked.groupBy("word").agg(F.max_by("right", F.struct(F.col("two") < 0, "m", "right")).alias("right"))
 

@@ -170,6 +170,12 @@ def test_many_weak_headers_of_which_some_are_titles(spark):
     assert {r.record_id for r in scans.repaired_texts(m, p).collect()} == {1, 2, 3}
 
 
+def test_misread_names_and_short_words(spark):
+    words = [("Pedro", 80), ("Pcdro", 2), ("do", 300), ("d0", 2), ("rua", 90), ("rna", 1), ("e", 500), ("c", 2), ("o", 500), ("0", 2), ("Mello", 30), ("Mcllo", 9), ("pedro", 0), ("10", 1), ("lo", 90)]
+    got = {(r.word, r.right) for r in scans.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert got == {("Pcdro", "Pedro"), ("d0", "do"), ("rna", "rua"), ("0", "o")}
+
+
 def test_anagram_hash_is_the_sum_of_its_characters(spark):
     r = spark.createDataFrame([("ação",), ("oãça",), ("",)], "w string").select(scans.anagram_hash(F.col("w")).alias("h")).collect()
     assert r[0].h == r[1].h == sum(map(scans.char_value, "ação")) and r[2].h == 0
