@@ -14,19 +14,17 @@ from foliant.tables import arrow_map, cut_table
 
 #: What is printed, then what is read in its place.
 CONFUSIONS = [
-    ("e", "c"), ("c", "e"), ("a", "u"), ("o", "0"), ("i", "1"), ("l", "1"), ("s", "5"), ("g", "9"), ("s", "ſ"), ("s", "f"), ("r", "v"), ("v", "y"),
+    ("e", "c"), ("c", "e"), ("a", "u"), ("o", "0"), ("i", "1"), ("l", "1"), ("l", "|"), ("s", "5"), ("g", "9"), ("s", "ſ"), ("s", "f"), ("r", "v"), ("v", "y"),
     ("n", "u"), ("u", "n"), ("t", "f"), ("f", "t"), ("h", "b"), ("b", "h"), ("q", "g"), ("b", "6"), ("z", "2"), ("B", "8"),
     ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("in", "m"), ("li", "h"), ("h", "li"), ("nn", "m"), ("ri", "n"), ("ii", "u"),
 ]
 #: Confusions that are also looked for two at a time in one word.
-COMMON = CONFUSIONS[:18]
+COMMON = CONFUSIONS[:19]
 #: A word is taken as misread if the word it is confusable with stands in so many times as many texts, and in so many at least.
 RATIO, RATIO_TWO, LEAST = 20, 60, 5
 #: A right word of fewer letters is a short one, with a ratio of its own; letters of a word with two confusions, at least.
 LETTERS, RATIO_SHORT, LETTERS_TWO = 4, 60, 6
 
-#: A text with up to so many different weak headers is read with each set of them taken as headers; with more, again when its titles are known.
-SETS = 5
 HYPHENS = "-¬‐­=⸗‑"
 _LINE = re.compile(r"\r\n|\r|\n")
 _SURE_NUMBER = re.compile(r"(?:[\[(] ?\d{1,4} ?[\])]|[-—–.] ?\d{1,4} ?[-—–.]|(?:Pag|Pg|P|Fl|Fls|Folha)\. ?\d{1,4}(?: ?v)?\.?)$")
@@ -40,7 +38,8 @@ _HEADERS = [
 ]
 _DATED = re.compile(r"(?P<t>[A-ZÀ-Þ][^\d,]{2,70}?), \d{1,2} de \w+ de \d{4}$")
 _DIGIT_LETTERS = str.maketrans("0159", "oisg")
-_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+#: What stands around a word; a '|' may be a misread letter of it.
+_OUTER = re.compile(r"^(?:[^\w|]|_)+|(?:[^\w|]|_)+$")
 _ENDED = tuple(".!?:;»\"”")
 
 
@@ -63,11 +62,18 @@ def _header(line: str) -> tuple[str, bool] | None:
     return None
 
 
+def _titled(line: str) -> bool:
+    """Whether a line is written as a title: two words or more, the longer ones with a capital, no digit and no end of a sentence."""
+    words = line.split()
+    long = [w for w in words if len(w) > 3]
+    return 2 <= len(words) <= 9 and bool(long) and all(w[0].isupper() for w in long) and line[-1].isalpha() and not any(c.isdigit() for c in line)
+
+
 def edge_lines(lines: list[str], titles: frozenset[str]) -> tuple[dict[int, str], list[str], list[str]]:
     """({line number: 'running_header' or 'page_number'}, keys of the sure headers, keys of the weak ones).
 
-    A sure header has a form that only headers have; a weak one is a line without small letters or with a date, and is a
-    header if its key is in `titles`. A line that is a bare number belongs to the text where the next word would have
+    A sure header has a form that only headers have; a weak one is a line without small letters or with a date, or the first
+    or last line written as a title, and is a header if its key is in `titles`. A line that is a bare number belongs to the text where the next word would have
     fitted on the line before it (a wrapped line ends where the next word doesn't fit), and at the end of a text whose
     sentence it completes.
     """
@@ -92,6 +98,12 @@ def edge_lines(lines: list[str], titles: frozenset[str]) -> tuple[dict[int, str]
                 if head[0] in titles:
                     kinds[i] = "running_header"
     solid = [i for i in range(len(lines)) if i not in kinds and i not in bare]
+    for i in dict.fromkeys((*solid[:1], *solid[-1:])):
+        if _titled(s := lines[i].strip()) and (key := title_key(s)) not in weak:
+            weak.append(key)
+            if key in titles:
+                kinds[i] = "running_header"
+                solid.remove(i)
     width = max((len(lines[i].rstrip()) for i in solid), default=0)
     for i in bare:
         before = max((k for k in solid if k < i), default=None)
@@ -137,44 +149,39 @@ def read_text(text: str, titles: frozenset[str] = frozenset()) -> dict:
 
 _PAIR = pa.struct([("l", pa.string()), ("r", pa.string())])
 _EDGE = pa.struct([("kind", pa.string()), ("item", pa.string())])
-_READ = "tid bigint, variant string, text string, sure array<string>, weak array<string>, edges array<struct<kind:string,item:string>>, cuts array<struct<l:string,r:string>>, words array<string>"
+_READ = "tid binary, text string, sure array<string>, weak array<string>, edges array<struct<kind:string,item:string>>, cuts array<struct<l:string,r:string>>, words array<string>"
 
 
-def _rows(out: list[tuple[int, str, str | None, dict]]) -> pa.RecordBatch:
-    rows = [x[3] for x in out]
+def _rows(out: list[tuple[bytes, str | None, dict]]) -> pa.RecordBatch:
+    rows = [x[2] for x in out]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([x[0] for x in out], pa.int64()),
+            pa.array([x[0] for x in out], pa.binary()),
             pa.array([x[1] for x in out], pa.string()),
-            pa.array([x[2] for x in out], pa.string()),
             pa.array([r["sure"] for r in rows], pa.list_(pa.string())),
             pa.array([r["weak"] for r in rows], pa.list_(pa.string())),
             pa.array([[{"kind": k, "item": i} for k, i in r["edges"]] for r in rows], pa.list_(_EDGE)),
             pa.array([[{"l": x, "r": y} for x, y in r["cuts"]] for r in rows], pa.list_(_PAIR)),
             pa.array([r["words"] for r in rows], pa.list_(pa.string())),
         ],
-        names=["tid", "variant", "text", "sure", "weak", "edges", "cuts", "words"],
+        names=["tid", "text", "sure", "weak", "edges", "cuts", "words"],
     )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text) -> a row for each set of weak headers; `text` is carried on only where there are too many sets."""
+    """(tid, text) -> its row with no weak header taken as one; `text` is carried on where there are weak ones, however many."""
     for b in batches:
-        out: list[tuple[int, str, str | None, dict]] = []
+        out = []
         for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             r = read_text(text)
-            weak = sorted(set(r["weak"]))
-            out.append((tid, "", text if len(weak) > SETS else None, r))
-            for n in range(1, 2 ** len(weak)) if len(weak) <= SETS else ():
-                titles = [w for k, w in enumerate(weak) if n >> k & 1]
-                out.append((tid, " ".join(titles), None, read_text(text, frozenset(titles))))
+            out.append((tid, text if r["weak"] else None, r))
         yield _rows(out)
 
 
-def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, titles) -> the row of the text's own titles."""
+def _read_titled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, text, titles) -> the row of a text some of whose weak headers are known titles."""
     for b in batches:
-        yield _rows([(tid, titles, None, read_text(text, frozenset(titles.split(" ")))) for tid, text, titles in zip(*(b.column(k).to_pylist() for k in range(3)))])
+        yield _rows([(tid, None, read_text(text, frozenset(titles))) for tid, text, titles in zip(*(b.column(k).to_pylist() for k in range(3)))])
 
 
 def char_value(c: str) -> int:
@@ -243,12 +250,17 @@ def corrections(words: DataFrame, ratio: int = RATIO, ratio_two: int = RATIO_TWO
     return checked.groupBy("word").agg(F.max_by("right", F.struct(F.col("two") < 0, "m", "right")).alias("right"))
 
 
+def _tid(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def _sources(mentions: DataFrame, parish: DataFrame) -> DataFrame:
     return (
         mentions.select(F.lit("entity_mentions").alias("source_table"), F.col("id").alias("record_id"), F.col("source_text").alias("text"))
         .union(parish.select(F.lit("parish_records"), "id", "raw_text"))
         .where(F.col("text").rlike(r"\S") & F.col("record_id").isNotNull())
-        .withColumn("tid", F.xxhash64("text"))
+        .withColumn("tid", _tid(F.col("text")))
     )
 
 
@@ -257,14 +269,13 @@ class Findings:
 
     def __init__(self, texts: DataFrame) -> None:
         """texts: (tid, text), each text once."""
-        both = cut_table(arrow_map(texts.select("tid", "text"), _read, _READ))
-        first = both.where("variant = ''")
-        known = first.select(F.explode("sure").alias("key")).groupBy("key").count().where("count > 1").select("key")
-        weak = first.where("size(weak) > 0").select("tid", F.explode(F.array_distinct("weak")).alias("key"))
-        titles = weak.join(known, "key").groupBy("tid").agg(F.array_join(F.array_sort(F.collect_set("key")), " ").alias("titles"))
-        titles = cut_table(titles)
-        again = cut_table(arrow_map(first.where("text is not null").join(titles, "tid").select("tid", "text", "titles"), _read_again, _READ))
-        self.reads = both.unionByName(again).join(titles, "tid", "left").where("variant = coalesce(titles, '')").select("tid", "edges", "cuts", "words")
+        once = cut_table(arrow_map(texts.select("tid", "text"), _read, _READ))
+        known = once.select(F.explode("sure").alias("key")).groupBy("key").count().where("count > 1").select("key")
+        weak = once.where("size(weak) > 0").select("tid", F.explode(F.array_distinct("weak")).alias("key"))
+        titles = cut_table(weak.join(known, "key").groupBy("tid").agg(F.collect_set("key").alias("titles")))
+        titled = arrow_map(once.where("text is not null").select("tid", "text").join(titles, "tid"), _read_titled, _READ)
+        cols = ["tid", "edges", "cuts", "words"]
+        self.reads = once.join(titles, "tid", "left_anti").select(*cols).unionByName(cut_table(titled.select(*cols)))
         self.words = self.reads.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         self.words = cut_table(self.words)
         seen = self.words.groupBy(F.lower("word").alias("form")).agg(F.sum("n").alias("n"))
@@ -294,7 +305,7 @@ class Findings:
 
 
 def _texts(sources: DataFrame) -> DataFrame:
-    return sources.groupBy("tid").agg(F.first("text").alias("text"))
+    return sources.select("text").distinct().select(_tid(F.col("text")).alias("tid"), "text")
 
 
 def scan_findings(mentions: DataFrame, parish: DataFrame) -> DataFrame:
@@ -353,5 +364,5 @@ def repaired_texts(mentions: DataFrame, parish: DataFrame) -> DataFrame:
     cuts = cuts.groupBy("tid").agg(F.collect_set(F.struct("l", "r", F.coalesce("right", "whole").alias("whole"))).alias("cuts"))
     words = f.reads.select("tid", F.explode("words").alias("word")).join(f.right, "word").groupBy("tid").agg(F.collect_set(F.struct("word", "right")).alias("words"))
     rows = texts.join(f.reads.select("tid", "edges"), "tid").join(cuts, "tid", "left").join(words, "tid", "left").select("tid", "text", "edges", "cuts", "words")
-    done = arrow_map(rows, _repair, "tid bigint, text string")
+    done = arrow_map(rows, _repair, "tid binary, text string")
     return sources.select("source_table", "record_id", "tid").join(done, "tid").select("source_table", "record_id", "text")

@@ -170,6 +170,16 @@ def test_many_weak_headers_of_which_some_are_titles(spark):
     assert {r.record_id for r in scans.repaired_texts(m, p).collect()} == {1, 2, 3}
 
 
+def test_titles_at_the_edges_and_bars_for_letters(spark):
+    rows = [(i, f"o escandaloso caso {i} da camara municipal") for i in range(60)] + [(100, "=== Jornal da Barra ===\numa linha"), (101, "=== Jornal da Barra ===\noutra linha")]
+    rows += [(102, "Jornal da Barra\no escanda|oso caso da camara municipa|"), (103, "uma linha\nJornal da Barra\noutra"), (104, "Jornal da Serra\numa linha")]
+    m = spark.createDataFrame(rows, "id long, source_text string")
+    p = spark.createDataFrame([(1, "uma linha"), (2, "uma linha")], "id long, raw_text string")
+    got = {(r.record_id, r.kind, r.item) for r in scans.scan_findings(m, p).collect() if r.record_id >= 102}
+    assert got == {(102, "running_header", "Jornal da Barra"), (102, "misread", "escandaloso"), (102, "misread", "municipal")}
+    assert {(r.source_table, r.record_id) for r in scans.repaired_texts(m, p).collect() if r.record_id < 3} == {("entity_mentions", i) for i in range(3)} | {("parish_records", i) for i in (1, 2)}
+
+
 def test_misread_names_and_short_words(spark):
     words = [("Pedro", 80), ("Pcdro", 2), ("do", 300), ("d0", 2), ("rua", 90), ("rna", 1), ("e", 500), ("c", 2), ("o", 500), ("0", 2), ("Mello", 30), ("Mcllo", 9), ("pedro", 0), ("10", 1), ("lo", 90)]
     got = {(r.word, r.right) for r in scans.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
