@@ -56,21 +56,41 @@ def test_term_marks_count_rows_once(spark):
 
 @pytest.mark.parametrize("text", ["", "a", "word " * 900, "x" * 5000, "uma frase. " * 300, ("linha\n" * 50 + "\n") * 20, "á́ ￿" * 700, "a\r\n" * 1500])
 def test_pieces_cover_the_text(text):
-    found = splitting.boundaries(text)
-    spans = splitting.cut_spans(*found)
-    begin, stop = found[3], found[4]
-    assert (begin, stop) == ((0, 0) if not text.strip() else (len(text) - len(text.lstrip()), len(text.rstrip())))
-    if not spans:
-        assert stop == begin
+    spans, needed = splitting.pieces(splitting.tokens(text))
+    begin, stop = len(text) - len(text.lstrip()), len(text.rstrip())
+    if not text.strip():
+        assert spans == [] and needed is None
         return
-    assert spans[0][0] == begin and spans[-1][1] == stop
-    for (s, e, _), (s2, e2, _) in zip(spans, spans[1:]):
-        assert e - s <= 1000 and s < s2 and e < e2 and e - s2 <= 200
-        assert not text[e:s2].strip()
+    assert spans[0][0] == begin and spans[-1][1] == stop and (needed is None) == (stop - begin <= 1000)
+    for (s, e, kind), (s2, e2, _) in zip(spans, [*spans[1:], (stop, stop, "")]):
+        assert e - s <= 1000 and (s < s2 and e < e2 or e == stop) and e - s2 <= 200
+        assert not text[e:s2].strip() and not text[s].isspace() and not text[e - 1].isspace()
+
+
+def plain_level(text, limit):
+    """The definition of cut in so many words."""
+    cuts = [r"\r\n(?:[ \t]*\r\n)+|\n(?:[ \t]*\n)+|\r(?:[ \t]*\r(?!\n))+", r"\r\n|\r|\n", r"(?<=[.!?])\s+|\r\n|\r|\n", r"\s+"]
+    for name, cut in zip(splitting.LEVELS, cuts):
+        if max(len(x.strip()) for x in re.split(cut, text.strip())) <= limit:
+            return name
+    return "character"
+
+
+def test_pieces_of_random_texts_need_the_level_that_is_defined():
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n", "\n \n", ". ", "? ", "a", "bcd", "efghi", "x" * 9]
+    for _ in range(400):
+        text = "".join(rng.choices(bits, [6, 1, 2, 0.4, 0.2, 1, 0.3, 6, 6, 6, 0.5], k=rng.randrange(1, 120)))
+        spans, needed = splitting.pieces(splitting.tokens(text), 20, 6)
+        if len(text.strip()) <= 20:
+            assert needed is None and len(spans) == (1 if text.strip() else 0)
+        else:
+            assert needed == plain_level(text, 20)
+            assert all(e - s <= 20 for s, e, _ in spans) and (needed == "character") == any(k == "character" for _, _, k in spans)
 
 
 def test_needed_level():
-    level = lambda t: splitting.needed_level(*splitting.boundaries(t))
+    level = lambda t: splitting.pieces(splitting.tokens(t))[1]
     assert level("a" * 900 + "\n \n" + "b" * 900) == "paragraph"
     assert level("a" * 900 + "\r\n" + "b" * 900) == "line"
     assert level("a" * 900 + ". " + "b" * 900) == "sentence"
