@@ -132,7 +132,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"), with_offsets=False).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items")).select("doc_id", "item_id")
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:

@@ -146,6 +146,29 @@ def test_leaks_see_through_disguises(spark):
     assert leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_calls_match_an_alignment_with_every_item(monkeypatch):
+    """No pair that the alignment accepts is lost before it, in texts looked at whole or in parts."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    stock = [" ".join(rng.choices(vocabulary, k=7)) for _ in range(8)]
+    items = [(i, " ".join([*rng.choices(vocabulary, k=15), rng.choice(stock), *rng.choices(vocabulary, k=18)])) for i in range(25)]
+    texts = [" ".join(rng.choices(stock, k=rng.randrange(1, 12))) for _ in range(60)]
+    for i, item in items:
+        w = item.split()
+        for n in (len(w), len(w) * 2 // 3):
+            part = [x if k % 8 else rng.choice(vocabulary) for k, x in enumerate(w[:n])]
+            texts.append(" ".join([rng.choice(stock), *part[: n // 2], rng.choice(stock), *part[n // 2 :], rng.choice(stock)]))
+    texts.append(" ".join(texts))
+    forms = list(map(leakage.letters, texts))
+    index = leakage.Index(items)
+    accepts = lambda n, i: (lambda p: p[0] >= 0.5 * p[1])(index.passages(i, forms[n]))
+    want = {(n, i) for n in range(len(texts)) for i, _ in items if accepts(n, i)}
+    assert len(want) >= 75
+    for hits in (leakage.HITS, 40):
+        monkeypatch.setattr(leakage, "HITS", hits)
+        assert {(n, i) for n, i in index.called(forms) if accepts(n, i)} == want
+
+
 def test_offsets_point_into_the_text():
     text = "Ａb­c é ﬁm"
     form, at = leakage.letters_with_offsets(text)
