@@ -9,7 +9,7 @@ from functools import lru_cache
 
 #: Particles, words that end a name without being its surname, and titles, folded.
 PARTICLES = {"de", "da", "do", "das", "dos", "e", "d", "del", "la"}
-SUFFIXES = {"neto", "filho", "junior", "sobrinho"}
+SUFFIXES = ("neto", "filho", "junior", "sobrinho", "filha", "sobrinha")
 TITLES = {
     "d", "dona", "dom", "sr", "sra", "senhor", "senhora", "dr", "doutor", "pe", "padre", "frei", "fr", "vigario", "vig", "cura", "conego", "con", "conselheiro", "cons",
     "comendador", "com", "comor", "desembargador", "des", "tenente", "ten", "alferes", "alf", "capitao", "cap", "capm", "major", "maj", "coronel", "cel", "cor",
@@ -57,11 +57,17 @@ def parts(name: str) -> list[str]:
     return out
 
 
+_DOTTED_TITLE = re.compile(r"[A-ZÀ-Þ]\.[a-zà-ÿ]{1,3}\.?$")
+
+
 def person(name: str) -> tuple[list[str], str] | None:
     """(tokens, suffix): given names and surname without titles and particles; None if nothing is left.
 
     suffix is one of SUFFIXES, 'byname' or ''.
     """
+    head, _, rest = name.strip().partition(" ")
+    if rest.strip() and _DOTTED_TITLE.match(head) and plain(head.replace(".", "")) in TITLES:
+        name = rest  # P.e, D.r: a title with a small letter, no initials
     t = parts(name)
     if t and (first := plain(name).split()[0]) in BYNAMES:
         return [spell(x) for x in t[1:] if x not in PARTICLES] or [first], "byname"
@@ -192,6 +198,13 @@ def name_match(a: list[str], b: list[str], loose_tail: bool = True) -> tuple[flo
     return score, full, extra
 
 
+def reordered(a: list[str], b: list[str]) -> bool:
+    """Whether two names have the same three or more full tokens, one turned against the other ('Silva Anna Rosa')."""
+    if len(a) != len(b) or len(a) < 3 or a == b or not all(map(is_full, (*a, *b))):
+        return False
+    return any(all(token_likeness(x, y) > 0 for x, y in zip(a, b[k:] + b[:k])) for k in range(1, len(b)))
+
+
 def same_parent(a: list[str], b: list[str]) -> bool:
     """Whether two writings can mean one parent: the names match, or most tokens of the shorter one have a like on the other side."""
     if name_match(a, b)[0] > 0:

@@ -1,4 +1,8 @@
-"""Rows that name the same person or organisation in different spellings."""
+"""Rows that name the same person or organisation in different spellings.
+
+Two bandings find the pairs: one over the surname or town, which names with initials share with the full ones, one over the whole name, whose parts may be
+misread anywhere, the first letter too, or stand in another order.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +16,13 @@ from pyspark.sql import functions as F
 from foliant.llm import names
 from foliant.tables import arrow_map, cut
 
-#: Padded q-grams of a head (surname or place) and the likeness of heads that banding must not miss.
-Q, LIKENESS, RECALL, HASHES = 3, 0.5, 0.9, 160
+#: Recall that a banding must reach at the likeness it is tuned for.
+RECALL = 0.9
+#: Padded bigrams of a head (surname or town). (letters from, letters to, likeness, hashes): likeness is that of the least alike heads that names.head_likeness
+#: accepts: of four letters with two swapped, and of eight with two replaced.
+Q_HEAD, HEADS = 2, [(3, 6, 0.25, 96), (6, 999, 0.38, 144)]
+#: Padded trigrams of the tokens of a whole name, which are full.
+Q_NAME, NAME_LIKENESS, NAME_HASHES = 3, 0.6, 128
 #: Years that may lie between two rows of one person; namesakes of other times lie further apart.
 YEARS = 25
 #: Likeness of two names that counts as a link.
@@ -32,7 +41,7 @@ def bands_for(likeness: float, recall: float, hashes: int) -> tuple[int, int]:
     return best
 
 
-def padded_grams(word: str, q: int = Q) -> set[str]:
+def padded_grams(word: str, q: int) -> set[str]:
     w = "#" * (q - 1) + word + "#" * (q - 1)
     return {w[i : i + q] for i in range(len(w) - q + 1)}
 
@@ -44,11 +53,11 @@ def _fnv(text: str) -> int:
     return h
 
 
-def band_keys(word: str, bands: int, rows: int) -> list[int]:
-    """The MinHash band values of the padded q-grams of `word`."""
-    grams = np.array([_fnv(g) for g in padded_grams(word)], dtype=np.uint64)
+def band_keys(grams: set[str], bands: int, rows: int) -> list[int]:
+    """The MinHash band values of a set of q-grams."""
+    one = np.array([_fnv(g) for g in grams], dtype=np.uint64)
     seeds = np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = grams[None, :] ^ seeds[:, None]
+    x = one[None, :] ^ seeds[:, None]
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -56,7 +65,24 @@ def band_keys(word: str, bands: int, rows: int) -> list[int]:
     out = np.zeros(bands, dtype=np.uint64)
     for k in range(rows):
         out = (out * np.uint64(0x100000001B3)) ^ low[:, k]
-    return out.astype(np.int64).tolist()
+    return (out ^ np.arange(bands, dtype=np.uint64)).astype(np.int64).tolist()
+
+
+def head_keys(head: str) -> list[int]:
+    """The band values of a head in the bandings for its length."""
+    out = []
+    for n, (least, most, likeness, hashes) in enumerate(HEADS):
+        if least <= len(head) <= most:
+            out += [v ^ n << 20 for v in band_keys(padded_grams(head, Q_HEAD), *bands_for(likeness, RECALL, hashes))]
+    return out
+
+
+def name_keys(tokens: list[str]) -> list[int]:
+    """The band values of a whole name; none unless two tokens are full."""
+    full = [t for t in tokens if names.is_full(t)]
+    if len(full) < 2:
+        return []
+    return band_keys(set().union(*(padded_grams(t, Q_NAME) for t in full)), *bands_for(NAME_LIKENESS, RECALL, NAME_HASHES))
 
 
 _FORMS = "id bigint, type string, tokens array<string>, suffix string, n bigint"
@@ -105,7 +131,7 @@ def nicknames(forms: DataFrame, least: int = NICKNAMES) -> DataFrame:
     Learnt from the rows themselves: `least` different rows must say so, and the other name must be the more frequent.
     """
     p = forms.where("type = 'person' and size(tokens) > 1").select(
-        "id", F.col("tokens")[0].alias("first"), F.array_join(F.slice("tokens", 2, 20), " ").alias("rest")
+        "id", F.col("tokens")[0].alias("first"), F.array_join(F.slice("tokens", F.lit(2), F.size("tokens")), " ").alias("rest")
     )
     p = p.where("length(first) > 2 and not contains(first, '.') and not contains(rest, '.')").distinct()
     often = p.groupBy("first").agg(F.count_distinct("id").alias("times"))
@@ -126,7 +152,7 @@ def entity_forms(facts: DataFrame, mentions: DataFrame) -> DataFrame:
     forms = cut(forms)
     known = nicknames(forms)
     named = forms.withColumn("nick", F.col("tokens")[0]).join(known, "nick", "left")
-    tokens = F.when((F.col("type") == "person") & F.col("name").isNotNull() & (F.size("tokens") > 1), F.concat(F.array("name"), F.slice("tokens", 2, 50))).otherwise(F.col("tokens"))
+    tokens = F.when((F.col("type") == "person") & F.col("name").isNotNull() & (F.size("tokens") > 1), F.concat(F.array("name"), F.slice("tokens", F.lit(2), F.size("tokens")))).otherwise(F.col("tokens"))
     return named.select("id", "type", tokens.alias("tokens"), "suffix", "n").groupBy("id", "type", "tokens", "suffix").agg(F.sum("n").alias("n"))
 
 
@@ -137,42 +163,66 @@ def best_names(forms: DataFrame) -> DataFrame:
     return forms.groupBy("id").agg(F.max(order).alias("b")).select("id", "b.tokens", "b.suffix", F.col("b.full").alias("full"))
 
 
-def _bands(bands: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, buckets = [], []
-            for n, head in enumerate(b.column(1).to_pylist()):
-                for k, v in enumerate(band_keys(head, bands, rows)):
-                    keys.append(n)
-                    buckets.append(v ^ k)
-            at = pa.array(keys, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(buckets, pa.int64())], names=["type", "head", "initial", "bucket"])
+def _head_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(type, head) -> (type, head, bucket)."""
+    for b in batches:
+        keys = [head_keys(head) for head in b.column(1).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([v for k in keys for v in k], pa.int64())], names=["type", "head", "bucket"])
+
 
-    return run
+def _name_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(type, name) -> (type, name, bucket)."""
+    for b in batches:
+        keys = [name_keys(name.split(" ")) for name in b.column(1).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([v for k in keys for v in k], pa.int64())], names=["type", "name", "bucket"])
 
 
 def _alike_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.filter(pa.array([names.head_likeness(x, y) > 0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
+        yield b.filter(pa.array([names.head_likeness(x, y) > 0 for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
+
 
+def _apart(a: list[str], b: list[str]) -> bool:
+    """Whether two names mean one although their heads or first letters keep them apart in the banding of heads."""
+    if a[0][:1] == b[0][:1] and names.head_likeness(a[-1], b[-1]) > 0:
+        return False
+    return names.name_match(a, b)[0] >= LINK or names.reordered(a, b)
+
+
+def _names_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([_apart(x.split(" "), y.split(" ")) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
 
-def head_links(keys: DataFrame, likeness: float = LIKENESS, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """(type, initial, head, other): each different head with itself and with those that banding finds and an edit distance confirms."""
-    bands, rows = bands_for(likeness, recall, hashes)
-    keys = cut(keys.select("type", "head", "initial").distinct())
-    banded = arrow_map(keys, _bands(bands, rows), "type string, head string, initial string, bucket bigint")
+
+def _both_ways(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.unionByName(pairs.select("type", F.col("other").alias(key), F.col(key).alias("other")))
+
+
+def head_links(heads: DataFrame) -> DataFrame:
+    """(type, head, other): each different head with itself and with those that banding finds and an edit distance confirms."""
+    heads = cut(heads.select("type", "head").distinct())
+    banded = arrow_map(heads, _head_bands, "type string, head string, bucket bigint")
     a, b = banded, banded.withColumnRenamed("head", "other")
-    met = a.join(b, ["type", "initial", "bucket"]).where("head < other and abs(length(head) - length(other)) <= 2").select("type", "initial", "head", "other").distinct()
-    alike = arrow_map(met, _alike_heads, "type string, initial string, head string, other string")
-    return alike.unionByName(alike.select("type", "initial", F.col("other").alias("head"), F.col("head").alias("other"))).unionByName(
-        keys.select("type", "initial", "head", F.col("head").alias("other"))
-    )
+    met = a.join(b, ["type", "bucket"]).where("head < other and abs(length(head) - length(other)) <= 2 and levenshtein(head, other, 4) >= 0").select("type", "head", "other").distinct()
+    alike = arrow_map(met, _alike_heads, "type string, head string, other string")
+    return _both_ways(alike, "head").unionByName(heads.select("type", "head", F.col("head").alias("other")))
+
+
+def name_links(nodes: DataFrame) -> DataFrame:
+    """(type, name, other): different whole names that mean one and that heads and first letters keep apart."""
+    banded = arrow_map(nodes.where("type = 'person'").select("type", "name").distinct(), _name_bands, "type string, name string, bucket bigint")
+    a, b = banded, banded.withColumnRenamed("name", "other")
+    met = a.join(b, ["type", "bucket"]).where("name < other").select("type", "name", "other").distinct()
+    return _both_ways(arrow_map(met, _names_apart, "type string, name string, other string"), "name")
 
 
-def link_score(kind: str, a: list[str], b: list[str], years_apart: int | None, family_a: str | None, family_b: str | None, same_place: bool) -> float:
+def link_score(kind: str, a: list[str], b: list[str], years_apart: int | None, family_a: str | None, family_b: str | None, same_place: bool, same_suffix: bool = True) -> float:
     """The strength of the link between two names, 0 if there is none.
 
-    years_apart is None where a side has no year. Persons whose fathers are both named and differ are not linked. Where only initials
+    years_apart is None where a side has no year. Persons whose fathers are both named and differ are not linked. Where one is named as
+    the younger ('Filho') and the other isn't, the father must speak for it. Where only initials
     and the surname agree, two initials or the father, the place or the very years must speak for it.
     """
     if years_apart is not None and years_apart > YEARS:
@@ -182,12 +232,16 @@ def link_score(kind: str, a: list[str], b: list[str], years_apart: int | None, f
         return score if score >= LINK else 0.0
     score, full, extra = names.name_match(a, b)
     if score < LINK:
-        return 0.0
+        if not names.reordered(a, b):
+            return 0.0
+        score, full, extra = 0.9, len(a), 0
     kin = False
     if family_a and family_b:
         kin = names.same_parent(family_a.split(), family_b.split())
         if not kin:
             return 0.0
+    if not same_suffix and not kin:
+        return 0.0
     if full == 0:
         initials = min(len(a), len(b)) - 1
         if not (kin or same_place or initials >= 2 or years_apart is not None and years_apart <= 3):
@@ -198,23 +252,47 @@ def link_score(kind: str, a: list[str], b: list[str], years_apart: int | None, f
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         scores = [
-            link_score(kind, ta, tb, None if la is None or lb is None else max(0, la - hb, lb - ha), fa, fb, bool(pa_ and pa_ == pb))
-            for kind, ta, tb, la, ha, lb, hb, fa, fb, pa_, pb in zip(*(b.column(k).to_pylist() for k in range(2, 13)))
+            0.0 if sa != sb and "byname" in (sa, sb)
+            else link_score(kind, ta, tb, None if la is None or lb is None else max(0, la - hb, lb - ha), fa, fb, bool(pa_ and pa_ == pb), sa == sb)
+            for kind, ta, tb, la, ha, lb, hb, fa, fb, pa_, pb, sa, sb in zip(*(b.column(k).to_pylist() for k in range(2, 15)))
         ]
         keep = pa.array([s > 0 for s in scores], pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s for s in scores if s > 0], pa.float64())], names=["u", "v", "score"])
 
 
-def stars(edges: DataFrame, rank: DataFrame, most_rounds: int = 60) -> DataFrame:
+def near_pairs(nodes: DataFrame, links: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """The pairs (a_.., b_..) of nodes, a_node below b_node, whose `key` a link joins and whose years lie at most YEARS apart; missing years lie near all.
+
+    links: (type, key, other). The years are part of the join's key, as spans of YEARS: a node meets others of its own and the neighbouring spans, each pair in the
+    first span they share, so namesakes of other times never meet.
+    """
+    cols = ["node", "tokens", "suffix", "lo", "hi", "family", "place"]
+    span = lambda c: F.floor(F.col(c) / YEARS).cast("int")
+    n = nodes.withColumn("from", span("lo")).withColumn("to", span("hi"))
+    n = n.select("type", *same, F.col(key).alias("key"), "from", "to", *cols)
+    left = n.select("type", *same, F.col("key").alias(key), "from", "to", *[F.col(c).alias(f"a_{c}") for c in cols]).join(links, ["type", key])
+    right = n.select("type", *same, F.col("key").alias("other"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    on = ["type", *same, "other"]
+    wanted = ["a_node", "b_node", "type", *[f"{p}_{c}" for c in ("tokens",) for p in "ab"], "a_lo", "a_hi", "b_lo", "b_hi", "a_family", "b_family", "a_place", "b_place", "a_suffix", "b_suffix"]
+    dated = left.where("a_lo is not null").withColumn("k", F.explode(F.sequence("from", "to")))
+    near = right.where("b_lo is not null").withColumn("k", F.explode(F.sequence(F.col("b_from") - 1, F.col("b_to") + 1)))
+    met = dated.join(near, [*on, "k"]).where(f"k = greatest(from, b_from - 1) and a_node < b_node and greatest(a_lo - b_hi, b_lo - a_hi) <= {YEARS}").select(*wanted)
+    open_left = left.where("a_lo is null").join(right, on).where("a_node < b_node").select(*wanted)
+    open_right = left.where("a_lo is not null").join(right.where("b_lo is null"), on).where("a_node < b_node").select(*wanted)
+    return met.unionByName(open_left).unionByName(open_right)
+
+
+def stars(edges: DataFrame, rank: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, star): star clustering of the graph (u, v, score; each edge once), rank: (node, full).
 
-    In each round the undecided nodes that outrank all their undecided neighbours, by full names, then degree, then
-    smaller id, become centres; their undecided neighbours join the centre of the strongest link. Nodes without edges are not
-    in the result. Only edges between undecided nodes are carried on, so the rounds shrink.
+    In each round the undecided nodes that outrank all their undecided neighbours, by full names, then degree, then a hash of the node,
+    become centres; their undecided neighbours join the centre of the strongest link. As nodes of equal names and degree are ranked at random, the
+    rounds grow with the logarithm of the longest chain, not with its length; an error is raised if `most_rounds` don't do. Nodes without
+    edges are not in the result. Only edges between undecided nodes are carried on, so the rounds shrink.
     """
     both = edges.union(edges.select("v", "u", "score"))
     degree = both.groupBy("u").agg(F.count("*").alias("degree"))
-    order = degree.join(rank, degree.u == rank.node).select("u", F.struct(F.col("full"), F.col("degree"), (-F.col("u")).alias("neg")).alias("r"))
+    order = degree.join(rank, degree.u == rank.node).select("u", F.struct(F.col("full"), F.col("degree"), F.xxhash64("u").alias("dice"), F.col("u").alias("own")).alias("r"))
     live = cut(both.join(order, "u").withColumnRenamed("r", "ru").join(order.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v").select("u", "v", "score", "ru", "rv"))
     done: DataFrame | None = None
     for _ in range(most_rounds):
@@ -235,6 +313,9 @@ def stars(edges: DataFrame, rank: DataFrame, most_rounds: int = 60) -> DataFrame
         lost = alone.select("u").distinct().join(rest.select("u").distinct(), "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("star"))
         done = done.union(cut(lost))
         live = cut(rest)
+    else:
+        if not live.isEmpty():
+            raise RuntimeError(f"stars did not settle in {most_rounds} rounds")
     if done is None:
         return rank.select("node", F.col("node").alias("star")).limit(0)
     return done
@@ -243,8 +324,8 @@ def stars(edges: DataFrame, rank: DataFrame, most_rounds: int = 60) -> DataFrame
 def same_entities(entities: DataFrame, mentions: DataFrame, facts: DataFrame | None = None, forms: DataFrame | None = None) -> DataFrame:
     """(entity_id, cluster): the rows of entities that mean the same person or organisation share a cluster, named by its smallest id.
 
-    Rows with the same fullest name, father and decade are one node; nodes whose heads meet in a MinHash band are verified by
-    Monge-Elkan likeness with years and fathers, and clustered by star clustering. Places, unreadable names and
+    Rows with the same fullest name, father and decade are one node; nodes that meet in a MinHash band, by their heads and initials or by their whole names,
+    are verified by Monge-Elkan likeness with years and fathers, and clustered by star clustering. Places, unreadable names and
     rows without a year are handled: places are left out, a row without any name is alone, missing years contradict nothing. Repeated
     ids count once.
     """
@@ -257,17 +338,14 @@ def same_entities(entities: DataFrame, mentions: DataFrame, facts: DataFrame | N
         rows.groupBy(*group).agg(F.min("id").alias("node"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("full").alias("full"), F.min("place").alias("place"))
         .withColumn("head", F.element_at("tokens", -1))
         .withColumn("initial", F.substring(F.col("tokens")[0], 1, 1))
+        .withColumn("name", F.array_join("tokens", " "))
     )
     members = rows.select("id", *group).join(
         nodes.select(*[F.col(c).alias(f"_{c}") for c in group], "node"),
         F.expr(" and ".join(f"{c} <=> _{c}" for c in group)),
     ).select("id", "node")
     linkable = nodes.where("length(head) > 2")
-    links = cut(head_links(linkable))
-    side = lambda p: linkable.select("type", "initial", F.col("head").alias("head" if p == "a" else "other"), F.col("suffix"), *[F.col(c).alias(f"{p}_{c}") for c in ("node", "tokens", "lo", "hi", "family", "place")])
-    met = side("a").join(links, ["type", "initial", "head"]).join(side("b"), ["type", "initial", "other", "suffix"])
-    met = met.where(f"a_node < b_node and not coalesce(greatest(a_lo - b_hi, b_lo - a_hi) > {YEARS}, false)")
-    met = met.select("a_node", "b_node", "type", "a_tokens", "b_tokens", "a_lo", "a_hi", "b_lo", "b_hi", "a_family", "b_family", "a_place", "b_place")
+    met = near_pairs(linkable, cut(head_links(linkable)), "head", ["initial"]).unionByName(near_pairs(linkable, cut(name_links(linkable)), "name", []))
     edges = cut(arrow_map(met, _links, "u bigint, v bigint, score double"))
     star = stars(edges, nodes.select("node", "full"))
     placed = members.join(star, "node", "left").select(F.col("id").alias("entity_id"), F.coalesce("star", "node").alias("star"))

@@ -264,21 +264,73 @@ def test_same_entities(spark):
     assert variants.same_entity_pairs(entity_frame(spark).limit(0), mention_frame(spark).limit(0)).count() == 0
 
 
-def test_banding_reaches_the_recall_it_is_tuned_for():
-    bands, rows = variants.bands_for(0.5, 0.9, 160)
-    rng = random.Random(1)
+def edited(rng, word):
+    """`word` with one letter replaced, put in, left out or swapped with its neighbour."""
+    i, c = rng.randrange(len(word) - 1), rng.choice("abcdefghilmnoprstuv")
+    return rng.choice([word[:i] + c + word[i + 1 :], word[:i] + c + word[i:], word[:i] + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+
+
+@pytest.mark.parametrize("length", range(4, 13))
+def test_banding_of_heads_reaches_its_recall_at_every_length(length):
+    rng = random.Random(length)
     found = met = 0
-    for _ in range(300):
-        a = "".join(rng.choice("abcdefghilmnopqrstuv") for _ in range(10))
-        i = rng.randrange(10)
-        b = a[:i] + rng.choice("abcdefghil") + a[i + 1 :]
-        x, y = variants.padded_grams(a), variants.padded_grams(b)
-        if len(x & y) / len(x | y) >= 0.5:
+    while met < 250:
+        a = "".join(rng.choice("abcdefghilmnopqrstuv") for _ in range(length))
+        b = edited(rng, a)
+        if length >= 8 and met % 2:
+            b = edited(rng, b)
+        if a != b and names.head_likeness(a, b) > 0:
             met += 1
-            found += bool(set(enumerate(variants.band_keys(a, bands, rows))) & set(enumerate(variants.band_keys(b, bands, rows))))
+            found += bool(set(variants.head_keys(a)) & set(variants.head_keys(b)))
     assert found / met >= 0.9
 
 
+def test_banding_of_whole_names_reaches_its_recall():
+    rng = random.Random(2)
+    given = ["leandro", "joao", "maria", "prudencio", "anna", "guimaraes", "castro", "ferborante", "vilmal", "rego"]
+    found = met = 0
+    while met < 250:
+        a = rng.sample(given, rng.randrange(3, 6))
+        b = [edited(rng, a[0]), *a[1:]] if met % 2 else a[1:] + a[:1]
+        x, y = (set().union(*(variants.padded_grams(t, 3) for t in n)) for n in (a, b))
+        if len(x & y) / len(x | y) >= variants.NAME_LIKENESS:
+            met += 1
+            found += bool(set(variants.name_keys(a)) & set(variants.name_keys(b)))
+    assert found / met >= 0.9
+
+
+def test_misread_first_letters_turned_names_and_suffixes(spark):
+    rows = [
+        (1, "João Guimarães Ferborante", "family:joaquim ferborante"), (2, "Ioão Guimarães Ferborante", ""), (3, "Ferborante João Guimarães", ""),
+        (4, "João Guimarães Ferborante Filho", "family:joaquim ferborante"), (5, "João Guimarães Ferborante Filho", ""), (6, "Maria Guimarães Vildelalho Fillha", ""),
+        (7, "M. G. Vildelalho Filha", ""), (8, "P.e Maria Guimarães Vildelalho Filah", ""),
+    ]
+    e = spark.createDataFrame([(i, "person", n, None, f'{{"identity_hints": ["{h}"]}}', "1885", "1886") for i, n, h in rows], "id long, type string, canonical_name string, aliases_json string, attributes_json string, first_seen_year string, last_seen_year string")
+    m = spark.createDataFrame([], "entity_id long, surface_form string")
+    got = {(r.entity_id_a, r.entity_id_b) for r in variants.same_entity_pairs(e, m).collect()}
+    assert {(1, 2), (1, 3), (2, 3), (6, 7), (6, 8), (7, 8)} <= got and (2, 5) not in got
+    assert names.person("P. E. Silva")[0] == ["p.", "e.", "silva"]
+
+
+def test_years_are_compared_in_every_span(spark):
+    rng = random.Random(4)
+    rows = [(i, "person", [f"t{i}"], "", *((lo, lo + rng.randrange(0, 40)) if rng.random() < 0.8 else (None, None)), None, None, "h") for i in range(60) for lo in [rng.randrange(1700, 1900)]]
+    n = spark.createDataFrame(rows, "node long, type string, tokens array<string>, suffix string, lo int, hi int, family string, place string, head string")
+    links = spark.createDataFrame([("person", "h", "h")], "type string, head string, other string")
+    got = [(r.a_node, r.b_node) for r in variants.near_pairs(n, links, "head", []).collect()]
+    near = lambda a, b: a[4] is None or b[4] is None or max(a[4] - b[5], b[4] - a[5]) <= variants.YEARS
+    assert sorted(got) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
+
+
+def test_stars_of_a_long_chain_lose_no_node(spark):
+    edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("score"))
+    rank = spark.range(301).select(F.col("id").alias("node"), F.lit(2).alias("full"))
+    got = {r.node: r.star for r in variants.stars(edges, rank).collect()}
+    assert set(got) == set(range(301)) and all(abs(n - s) <= 1 for n, s in got.items())
+    with pytest.raises(RuntimeError):
+        variants.stars(edges, rank, most_rounds=1)
+
+
 @pytest.mark.parametrize("a, b, same", [("Fran.co Paes Vilmal", "Francisco Paes Vilmal", True), ("Vilmal, Francisco", "F. Vilmal", True), ("Rosa Vilmal", "Maria Vilmal", False), ("Anna Castro Vilmal", "Anna Mello Vilmal", False)])
 def test_name_match(a, b, same):
     assert (names.name_match(names.person(a)[0], names.person(b)[0])[0] > 0) == same
