@@ -26,13 +26,14 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 
 @cache
 def look_map() -> dict[str, str]:
-    """Every character that looks like another single one: full-width and half-width forms, spaces, single-letter Roman
-    numerals (all by their Unicode decomposition), LOOK_ALIKES, and letters with accents over a base in LOOK_ALIKES."""
+    """Every character that looks like another single one: full-width and half-width forms, mathematical letters and digits of all styles, spaces,
+    single-letter Roman numerals (all by their Unicode decomposition, of all planes), LOOK_ALIKES, and letters with accents over a base in LOOK_ALIKES.
+    Circled and raised characters look different and are left."""
     out = dict(LOOK_ALIKES)
-    for c in map(chr, range(0x80, 0x10000)):
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
         kind, _, rest = unicodedata.decomposition(c).partition(" ")
         to = [chr(int(x, 16)) for x in rest.split()]
-        if kind in ("<wide>", "<narrow>") and len(to) == 1:
+        if kind in ("<wide>", "<narrow>", "<font>") and len(to) == 1:
             out[c] = out.get(to[0], to[0])
         elif unicodedata.category(c) == "Zs":
             out[c] = " "
@@ -52,7 +53,7 @@ def skeleton_map() -> tuple[str, str]:
     """For translate(): look-alikes and accented letters become their base letter; ASCII other than letters and
     digits, spaces, marks and characters without a form of their own go."""
     look, keep, drop = look_map(), {}, []
-    for n in [*range(0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x10000), *range(0xE0000, 0xE01F0)]:
+    for n in [*range(0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x10000), *(ord(c) for c in look if c > "\uffff"), *range(0xE0000, 0xE01F0)]:
         c = chr(n)
         if c in LIGATURES:
             drop.append(c)  # and the letters it stands for, see skeleton()
@@ -86,9 +87,17 @@ def skeleton(text: Column) -> Column:
     return F.translate(F.regexp_replace(some, "[ᄀ-ᇿ가-힣]", ""), gone, kept)
 
 
+#: Two 64-bit hashes that stand for a text together.
+_T = ["t", "u"]
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    return texts.withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), F.col("text"))})
+
+
 def _keys(texts: DataFrame, ident: str, text: str) -> DataFrame:
     rows = texts.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\p{Z}\p{C}]"))
-    return rows.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(skeleton(F.col("text"))).alias("s"))
+    return _hashed(rows).select("doc_id", *_T, F.xxhash64(skeleton(F.col("text"))).alias("s"))
 
 
 def _classes(texts: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -98,21 +107,20 @@ def _classes(texts: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFr
     a skeleton; exact copies count once there.
     """
     keys = cut(_keys(texts, ident, text))
-    mixed = keys.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("s")
+    mixed = keys.groupBy("s").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in _T]).where("min_t <> max_t or min_u <> max_u").select("s")
     near = keys.join(mixed, "s")
-    one = near.groupBy("s", "t").agg(F.min("doc_id").alias("doc_id"))
+    one = near.groupBy("s", *_T).agg(F.min("doc_id").alias("doc_id"))
     values = (
-        texts.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-        .withColumn("t", F.xxhash64("text"))
-        .join(one, ["doc_id", "t"])
-        .groupBy("s", "t", "doc_id")
+        _hashed(texts.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")))
+        .join(one, ["doc_id", *_T])
+        .groupBy("s", *_T, "doc_id")
         .agg(F.min("text").alias("text"))
-        .select("s", "t", "doc_id", F.collate(look_form(F.col("text")), "UNICODE").alias("value"))
+        .select("s", *_T, "doc_id", F.collate(look_form(F.col("text")), "UNICODE").alias("value"))
     )
     values = cut(values.withColumn("value", F.col("value").cast("string"))).withColumn("value", F.collate("value", "UNICODE"))
     canonical = values.groupBy("s", "value").agg(F.min("doc_id").alias("canonical_id"), F.count("*").alias("n"))
-    named = values.join(canonical.where("n > 1"), ["s", "value"]).select("s", "t", "canonical_id")
-    return keys, near.join(named, ["s", "t"])
+    named = values.join(canonical.where("n > 1"), ["s", "value"]).select("s", *_T, "canonical_id")
+    return keys, near.join(named, ["s", *_T])
 
 
 def look_pairs(texts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,14 +131,14 @@ def look_pairs(texts: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     with the same id pairs like one row.
     """
     _, members = _classes(texts, ident, text)
-    m = members.select("canonical_id", "t", "doc_id").distinct()
-    a, b = m.select("canonical_id", F.col("t").alias("ta"), F.col("doc_id").alias("doc_id_a")), m.select("canonical_id", F.col("t").alias("tb"), F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "canonical_id").where("doc_id_a < doc_id_b and ta <> tb").select("doc_id_a", "doc_id_b").distinct()
+    m = members.select("canonical_id", *_T, "doc_id").distinct()
+    side = lambda x: m.select("canonical_id", F.col("t").alias(f"t_{x}"), F.col("u").alias(f"u_{x}"), F.col("doc_id").alias(f"doc_id_{x}"))
+    return side("a").join(side("b"), "canonical_id").where("doc_id_a < doc_id_b and (t_a <> t_b or u_a <> u_b)").select("doc_id_a", "doc_id_b").distinct()
 
 
 def look_canonical(texts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, canonical_id), one row per row of `texts` with a text that isn't blank: the smallest doc_id whose text looks the same."""
     keys, members = _classes(texts, ident, text)
-    copies = keys.groupBy("t").agg(F.min("doc_id").alias("first_id"))
-    named = members.select("t", "s", "canonical_id").distinct()
-    return keys.join(copies, "t").join(named, ["t", "s"], "left").select("doc_id", F.least("first_id", F.coalesce("canonical_id", "first_id")).alias("canonical_id"))
+    copies = keys.groupBy(*_T).agg(F.min("doc_id").alias("first_id"))
+    named = members.select(*_T, "s", "canonical_id").distinct()
+    return keys.join(copies, _T).join(named, [*_T, "s"], "left").select("doc_id", F.least("first_id", F.coalesce("canonical_id", "first_id")).alias("canonical_id"))
