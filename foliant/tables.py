@@ -1,9 +1,10 @@
-"""Reading tables, cutting lineage and deciding on broadcasts."""
+"""Reading tables and cutting lineage."""
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,10 +13,6 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Serialised size up to which a side of a join may be broadcast; larger sides are shuffled.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure a checkpoint folder is set: the one the session names, else a local one."""
+    """Make sure a checkpoint folder is set: the one the session names, else, in local mode only, a temporary one.
+
+    Executors of a cluster can't read a folder of the driver's machine, so there the setting is required.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
         named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
@@ -82,19 +84,6 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def side_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`; exact after `cut` for what is measured there."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Mark `df` for broadcast if `rows` * `row_bytes` is below BROADCAST_BYTES, else leave it alone.
-
-    `rows` is a number the caller has counted or that a parameter bounds.
-    """
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def local_file(path: str) -> str:
     """`path` if it exists, else an error that says which parameter to set."""
     if not os.path.exists(path):
