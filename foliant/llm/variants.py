@@ -211,10 +211,15 @@ def head_links(heads: DataFrame) -> DataFrame:
 
 
 def name_links(nodes: DataFrame) -> DataFrame:
-    """(type, name, other): different whole names that mean one and that heads and first letters keep apart."""
+    """(type, name, other): different whole names that mean one and that heads and first letters keep apart: by a misread first name, or turned against
+    each other, so that the first token of each stands in the other. What can be neither goes before a worker sees it."""
     banded = arrow_map(nodes.where("type = 'person'").select("type", "name").distinct(), _name_bands, "type string, name string, bucket bigint")
+    first, last = (lambda c: F.substring_index(c, " ", 1)), (lambda c: F.substring_index(c, " ", -1))
     a, b = banded, banded.withColumnRenamed("name", "other")
-    met = a.join(b, ["type", "bucket"]).where("name < other").select("type", "name", "other").distinct()
+    misread = (F.left("name", F.lit(1)) != F.left("other", F.lit(1))) & (F.levenshtein(first("name"), first("other")) <= 2)
+    inside = lambda x, y: F.contains(F.concat(F.lit(" "), F.col(y), F.lit(" ")), F.concat(F.lit(" "), first(x), F.lit(" ")))
+    turned = (last("name") != last("other")) & inside("name", "other") & inside("other", "name") & (first("name") != first("other"))
+    met = a.join(b, ["type", "bucket"]).where((F.col("name") < F.col("other")) & (misread | turned)).select("type", "name", "other").distinct()
     return _both_ways(arrow_map(met, _names_apart, "type string, name string, other string"), "name")
 
 
