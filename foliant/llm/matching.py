@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import names
-from foliant.llm.variants import best_names, entity_facts, entity_forms, nicknames, same_entities
+from foliant.llm.variants import entity_facts, entity_forms, head_links, nicknames, same_entities
 from foliant.tables import arrow_map, cut
 
 #: BM25: saturation and length normalisation.
@@ -20,6 +20,10 @@ K1, B = 1.2, 0.5
 AGE_FROM, AGE_TO = 13, 92
 #: Ages at marriage and at death.
 MARRY_FROM, MARRY_TO, OLDEST = 14, 55, 95
+#: Documents of a record that go on, by score; those that tie with the last one, too.
+TOP = 20
+#: Weight of the terms of relatives other than the father, and years of a span of the join's key.
+RELATIVE, SPAN = 0.5, 40
 #: Confidence from which a document that is not its record's nearest is kept.
 SURE = 0.5
 #: Pairs whose two fathers are known on which the calibration is fitted, at most.
@@ -79,101 +83,144 @@ def _name(text: str | None) -> list[str] | None:
     return got[0] if got else None
 
 
-def head_keys(tokens: list[str]) -> list[str]:
-    """The surname, and what is left of it without one letter, each with the initial: surnames one edit apart share one of them."""
-    head, initial = tokens[-1], tokens[0][:1]
-    forms = {head, *(head[:i] + head[i + 1 :] for i in range(len(head)))} if len(head) > 3 else {head}
-    return sorted(f"{initial}:{x}" for x in forms)
+def _place(text: str | None) -> str | None:
+    return names.spelt(names.plain(text).replace(" ", "")) if text and text.strip(" ?") else None
 
 
-def terms_of(tokens: list[str], father: list[str] | None, place: str | None) -> list[str]:
-    """The index terms of a person: surname, given names, their initials, the father's names and the place."""
-    out = {"s:" + tokens[-1]}
-    for t in tokens[:-1]:
-        out.add("i:" + t[:1])
-        if names.is_full(t):
-            out.add("g:" + t)
-    for t in father or []:
-        if names.is_full(t):
-            out.add("f:" + t)
-    if place:
-        out.add("p:" + names.spelt(names.plain(place).replace(" ", "")))
-    return sorted(out)
+def given_terms(tokens: list[str]) -> set[str]:
+    """The index terms of given names: full ones and their initials."""
+    return {"i:" + t[:1] for t in tokens[:-1]} | {"g:" + t for t in tokens[:-1] if names.is_full(t)}
 
 
-_RECORD = "id bigint, tokens array<string>, suffix string, father array<string>, place string, b0 int, b1 int, died int"
+def relative_terms(names_of: list[list[str] | None]) -> set[str]:
+    return {"f:" + t for n in names_of for t in n or [] if names.is_full(t)}
+
+
+_RECORD = "id bigint, tokens array<string>, suffix string, father array<string>, kin array<string>, places array<string>, b0 int, b1 int, died int"
+_NAMED_IN = ["mother_name", "spouse_name", "paternal_grandfather", "paternal_grandmother", "maternal_grandfather", "maternal_grandmother"]
+_RECORD_COLUMNS = ["id", "record_type", "event_date", "birth_date", "person_name", "father_name", "source_collection", "place", "parish", "island", "godparents_json", *_NAMED_IN]
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for i, kind, event, birth, name, father, place, collection in zip(*(b.column(k).to_pylist() for k in range(8))):
+        for i, kind, event, birth, name, father, collection, place, parish, island, godparents, *others in zip(*(b.column(k).to_pylist() for k in range(len(_RECORD_COLUMNS)))):
             got = None if not name or _UNKNOWN.search(name) else names.person(name)
             if got and got[1] != "byname" and len(got[0]) > 1:
                 span = birth_span(kind, event, birth, collection) or (None, None)
-                spot = place if place and place.strip(" ?") else None
-                out.append((i, got[0], got[1], _name(father), spot, *span, death_year(kind, event, collection)))
-        cols = list(zip(*out)) or [[]] * 8
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "tokens", "suffix", "father", "place", "b0", "b1", "died"])
+                kin = sorted(relative_terms([_name(x) for x in [*others, *names.aliases(godparents)]]))
+                places = [x for x in map(_place, (place, parish, island)) if x]
+                out.append((i, got[0], got[1], _name(father), kin, places, *span, death_year(kind, event, collection)))
+        cols = list(zip(*out)) or [[]] * 9
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "tokens", "suffix", "father", "kin", "places", "b0", "b1", "died"])
 
 
-_INDEXED = "id bigint, keys array<string>, terms array<string>"
+def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens, father, kin, places) -> (id, [(term, weight)]) without the surname."""
+    for b in batches:
+        out = []
+        for tokens, father, kin, places in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+            terms = {t: RELATIVE for t in kin or []} | {t: 1.0 for t in given_terms(tokens) | relative_terms([father]) | {"p:" + x for x in places or []}}
+            out.append([{"term": t, "weight": w} for t, w in sorted(terms.items())])
+        kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "terms"])
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tokens, father, place) -> (id, keys, terms)."""
+def _form_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens) -> (id, terms) of one spelling."""
     for b in batches:
-        rows = list(zip(*(b.column(k).to_pylist() for k in range(1, 4))))
-        keys, terms = [head_keys(t) for t, _, _ in rows], [terms_of(*r) for r in rows]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["id", "keys", "terms"])
+        out = [sorted({"s:" + t[-1]} | given_terms(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["id", "terms"])
+
+
+def _fact_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fathers, places) -> (id, terms)."""
+    for b in batches:
+        out = []
+        for fathers, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out.append(sorted(relative_terms([f.split() for f in fathers or []]) | {"p:" + x for x in map(_place, places or []) if x}))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["id", "terms"])
 
 
 def _named(rows: DataFrame, known: DataFrame, col: str) -> DataFrame:
     """`rows` with a nickname at the head of the token column `col` replaced."""
     out = rows.withColumn("nick", F.get(col, F.lit(0))).join(known, "nick", "left")
-    return out.withColumn(col, F.when(F.col("name").isNotNull() & (F.size(col) > 1), F.concat(F.array("name"), F.slice(col, 2, 50))).otherwise(F.col(col))).drop("nick", "name")
+    return out.withColumn(col, F.when(F.col("name").isNotNull() & (F.size(col) > 1), F.concat(F.array("name"), F.slice(col, F.lit(2), F.size(col)))).otherwise(F.col(col))).drop("nick", "name")
+
+
+def postings(terms: DataFrame) -> DataFrame:
+    """(term, doc, impact): the inverted index of (id, term), each pair once; impact is what the term adds to a BM25 score where a query asks for it with weight 1."""
+    one = terms.select(F.col("id").alias("doc"), "term").distinct()
+    size = one.groupBy("doc").agg(F.count("*").alias("length"))
+    whole = size.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    frequency = one.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return one.join(size, "doc").join(frequency, "term").join(F.broadcast(whole)).select("term", "doc", impact.alias("impact"))  # whole is one row
 
 
-def candidates(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query, doc), distinct: all pairs that share a key. Both sides: (id, keys)."""
-    met = queries.select(F.col("id").alias("query"), F.explode("keys").alias("key")).join(documents.select(F.col("id").alias("doc"), F.explode("keys").alias("key")), "key")
-    return met.select("query", "doc").distinct()
+def top_documents(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
+    """`pairs` (query, doc, head_score, ..) with score, for each query the k of the highest score and those that tie with the last.
+
+    queries: (query, term, weight); index: postings(). The score is head_score, what the best surname adds, and the sum of weight x impact over the
+    other terms that both share. No document outside the top k is scored in full if its bound says so: a pair goes no further if head_score and
+    the sum of the query's upper bounds (weight x the highest impact of each term) lie below the k-th best head_score of the query.
+    """
+    highest = index.groupBy("term").agg(F.max("impact").alias("highest"))
+    bound = queries.join(highest, "term").groupBy("query").agg(F.sum(F.col("weight") * F.col("highest")).alias("rest"))
+    by = Window.partitionBy("query").orderBy(F.desc("head_score"))
+    kth = pairs.select("query", "head_score", F.row_number().over(by).alias("n")).where(F.col("n") == k).select("query", F.col("head_score").alias("kth"))
+    open_ = pairs.join(bound, "query", "left").join(kth, "query", "left").where("kth is null or head_score + coalesce(rest, 0) >= kth").drop("rest", "kth")
+    hits = open_.select("query", "doc").join(queries, "query").join(index, ["term", "doc"]).groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("hits"))
+    full = open_.join(hits, ["query", "doc"], "left").withColumn("score", F.round(F.col("head_score") + F.coalesce("hits", F.lit(0.0)), 9)).drop("hits")
+    return full.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k).drop("n")
 
 
-def scored(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """`pairs` (query, doc, ..) with score, the BM25 of the document for the terms of the query; no pair is dropped. Both sides: (id, terms)."""
-    size = documents.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
-    frequency = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weights = frequency.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast("float").alias("idf"))  # one row
-    asked = queries.select(F.col("id").alias("query"), F.explode("terms").alias("term"))
-    weighed = asked.join(weights, "term").groupBy("query").agg(F.collect_list(F.struct("term", "idf")).alias("q"))
-    full = pairs.join(weighed, "query").join(documents.select(F.col("id").alias("doc"), F.col("terms").alias("d")), "doc").join(F.broadcast(size.select("mean")))
-    hit = F.aggregate(F.filter("q", lambda t: F.array_contains("d", t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
-    return full.select(*pairs.columns, (hit * (K1 + 1) / (1 + K1 * (1 - B + B * F.size("d") / F.col("mean")))).alias("score"))
+def candidates(records: DataFrame, forms: DataFrame, links: DataFrame) -> DataFrame:
+    """(query, doc, r, d, head, other): all pairs of a record and a spelling of a document whose surnames a link joins, whose first names can be one, whose
+    suffixes are equal and whose times fit.
 
+    The time is part of the key: a record meets the documents of the spans in which its person can begin to be written about, and those without a time.
+    """
+    first = lambda c: F.col(c)["tokens"][0]
+    r = records.select(F.col("id").alias("query"), F.struct("tokens", "suffix", "father", "places", "b0", "b1", "died").alias("r"), F.element_at("tokens", -1).alias("head"))
+    r = r.join(links.where("type = 'person'").select("head", "other"), "head")
+    d = forms.select(F.col("id").alias("doc"), F.struct("tokens", "suffix", "fathers", "places", "lo", "hi").alias("d"), F.element_at("tokens", -1).alias("other"))
+    d = d.withColumn("span", F.coalesce(F.floor(F.col("d.lo") / SPAN).cast("int"), F.lit(-1)))
+    spans = F.concat(F.array(F.lit(-1)), F.sequence(F.floor((F.col("r.b0") + AGE_FROM) / SPAN).cast("int"), F.floor((F.col("r.b1") + AGE_TO) / SPAN).cast("int")))
+    timed = r.where("r.b0 is not null").withColumn("span", F.explode(spans)).join(d, ["other", "span"])
+    open_ = r.where("r.b0 is null").join(d, "other")
+    alike = (F.left(first("r"), F.lit(1)) == F.left(first("d"), F.lit(1))) | (F.levenshtein(first("r"), first("d")) <= 2)
+    cols = ["query", "doc", "r", "d", "head", "other"]
+    return timed.select(*cols).unionByName(open_.select(*cols)).where(alike & F.expr(f"coalesce(r.suffix, '') = coalesce(d.suffix, '') and {TIME_FITS}"))
 
-_PAIR = "query bigint, doc bigint, likeness double, full int, extra int, kin int, same_place int, timed int"
+
+_PAIR = "query bigint, doc bigint, other string, head_likeness double, likeness double, full int, extra int, kin int, same_place int, timed int"
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Name, father and time of each candidate pair; pairs that contradict each other go. kin: 1 same father, -1 another, 0 unknown."""
+    """Name and father of each candidate pair; names that contradict each other go, and surnames two edits apart where neither the father nor
+    two full names without a gap speak for them. kin: 1 same father, -1 another, 0 unknown."""
     for b in batches:
         keep, out = [], []
-        for n, (ta, sa, fa, pl_a, b0, b1, died, tb, sb, fb, pl_b, lo, hi) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 15)))):
+        for n, (ta, fa, pl_a, b0, tb, fb, pl_b, lo) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3, 11)))):
             score, full, extra = names.name_match(ta, tb)
-            if score == 0 or (sa or "") != (sb or "") or not time_fits(lo, hi, (b0, b1), died):
+            if score == 0:
+                continue
+            kin = 0 if not fa or not fb else 1 if any(names.same_parent(fa, f.split()) for f in fb) else -1
+            head = names.head_likeness(ta[-1], tb[-1])
+            if kin < 1 and (full < 2 or extra) and head < 1 - 1.5 / max(len(ta[-1]), len(tb[-1])):
                 continue
-            kin = 0 if not fa or not fb else 1 if names.same_parent(fa, fb) else -1
+            same = bool(pl_a and pl_b) and not set(pl_a).isdisjoint(filter(None, map(_place, pl_b)))
             keep.append(n)
-            same = bool(pl_a and pl_b) and names.spelt(names.plain(pl_a)) == names.spelt(names.plain(pl_b))
-            out.append((score, full, extra, kin, int(same), int(lo is not None and b0 is not None)))
+            out.append((head, score, full, extra, kin, int(same), int(lo is not None and b0 is not None)))
         at = pa.array(keep, pa.int32())
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = [pa.float64()] + [pa.int32()] * 5
+        cols = list(zip(*out)) or [[]] * 7
+        kinds = [pa.float64()] * 2 + [pa.int32()] * 5
         yield pa.RecordBatch.from_arrays(
-            [b.column(k).take(at) for k in range(2)] + [pa.array(c, t) for c, t in zip(cols, kinds)],
-            names=["query", "doc", "likeness", "full", "extra", "kin", "same_place", "timed"],
+            [b.column(k).take(at) for k in range(3)] + [pa.array(c, t) for c, t in zip(cols, kinds)],
+            names=["query", "doc", "other", "head_likeness", "likeness", "full", "extra", "kin", "same_place", "timed"],
         )
 
 
@@ -209,51 +256,73 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def accidental(fathers: list[tuple[list[str], list[str]]]) -> float:
+    """How often the test for one father passes for two that have nothing to do with each other: the pairs' sides shifted against each other."""
+    other = [d for _, d in fathers[1:]] + [d for _, d in fathers[:1]]
+    met = sum(any(names.same_parent(r, f.split()) for f in d) for (r, _), d in zip(fathers, other))
+    return (met + 1) / (len(fathers) + 50)
+
+
+def calibrated(checked: DataFrame, fathers: DataFrame, rows: int) -> tuple[list[str], list[float], float]:
+    """(features, weights of the logistic model, chance of an accidental agreement of fathers), fitted on at most `rows` pairs whose two fathers are known.
+
+    A father that agrees is taken as a true pair, another as a false one. Where there is nothing to fit on, weights that ask for a good name stand in.
+    """
+    features = ["gap", "likeness", "full", "extra", "same_place", "timed"]
+    sample = _ranked(checked).where("n = 1 and kin <> 0").orderBy(F.xxhash64("query")).limit(rows).join(fathers, ["query", "doc"]).toPandas().sort_values("query")
+    chance = accidental([(list(r), list(d)) for r, d in zip(sample.r_father, sample.d_fathers)])
+    if sample.kin.nunique() == 2:
+        return features, fit_logistic(sample[features].to_numpy(float), (sample.kin == 1).to_numpy(float)).tolist(), chance
+    return features, [0.0, 1.0, 1.0, 0.5, -0.5, 1.0, 0.0], chance
+
+
+def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, calibration_rows: int = CALIBRATION_ROWS, k: int = TOP) -> DataFrame:
     """(parish_record_id, entity_id, confidence): the record's person and the row of entities are the same.
 
-    Rows of entities that mean one person (see variants) are one document of an inverted index over names, father and place; each
-    record meets all documents that share a key with it. Pairs whose names, fathers or times contradict each other go first; the others are
-    ranked by BM25, and of them stay
-    the record's nearest document and each that is as sure (a person may stand in several documents), where the record is the
-    document's nearest or can be another reading or entry of that one's person. The confidence is a logistic function of the
-    score's gap to the best other document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
-    fathers are known: a father that agrees is taken as a true pair, another as a false one. Records without a
+    Rows of entities that mean one person (see variants) are one document of an inverted index over all spellings of its fullest name, relatives and places (a shorter
+    spelling would hide that a name contradicts); the years are tested.
+    A record asks for its person's names, the father's, those of other relatives and godparents at a lower weight, place, parish and island. Candidates are all spellings with an alike
+    surname (found by banding, confirmed by edit distance) and a time that fits; pairs whose names contradict each other go, then those of another father.
+    Of the rest each record keeps the k documents of the highest BM25 score with ties, found with upper bounds (see top_documents).
+    Of them stay the record's nearest document and each that is as sure (a person may stand in several documents), where the record is the document's nearest
+    or can be another reading or entry of that one's person. The confidence is a logistic function of the score's gap to the best other
+    document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
+    fathers are known; where the pair's own fathers agree, the odds are divided by the chance that they do so by accident. Records without a
     readable name and entities without one match nothing; missing dates, places and fathers contradict nothing.
     """
     facts = cut(entity_facts(entities).dropDuplicates(["id"]))
     forms = cut(entity_forms(facts, mentions))
     clusters = cut(same_entities(entities, mentions, facts, forms))
-    best = best_names(forms)
-    people = facts.where("type = 'person'").join(best, "id").where("suffix <> 'byname' and size(tokens) > 1").join(clusters.withColumnRenamed("entity_id", "id"), "id")
-    docs = people.groupBy("cluster").agg(
-        F.max(F.struct("full", "tokens", "suffix")).alias("b"), F.max("family").alias("family"), F.max("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    docs = cut(docs.select(F.col("cluster").alias("id"), "b.tokens", "b.suffix", F.split("family", " ").alias("father"), "place", "lo", "hi"))
-    rows = parish.select("id", "record_type", "event_date", "birth_date", "person_name", "father_name", "place", "source_collection").where("id is not null")
+    people = facts.where("type = 'person'").join(clusters.withColumnRenamed("entity_id", "id"), "id")
+    attributes = cut(people.groupBy(F.col("cluster").alias("id")).agg(F.collect_set("family").alias("fathers"), F.collect_set("place").alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    full = F.size(F.filter("tokens", lambda t: (F.length(t) > 2) & ~F.contains(t, F.lit("."))))
+    spelt = forms.join(people.select("id", "cluster"), "id").where("suffix <> 'byname' and size(tokens) > 1").select(F.col("cluster").alias("id"), "tokens", "suffix", full.alias("full")).distinct()
+    fullest = spelt.groupBy("id").agg(F.max("full").alias("most"))
+    spelt = cut(spelt.join(fullest, "id").where("full = most").select("id", "tokens", "suffix"))
     known = nicknames(forms)
+    rows = parish.where("id is not null").select(*_RECORD_COLUMNS)
     records = cut(_named(_named(arrow_map(rows, _records, _RECORD).dropDuplicates(["id"]), known, "tokens"), known, "father"))
-    asked = cut(arrow_map(records.select("id", "tokens", "father", "place"), _terms, _INDEXED))
-    indexed = cut(arrow_map(docs.select("id", "tokens", "father", "place"), _terms, _INDEXED))
-    left = records.select(F.col("id").alias("query"), F.struct("tokens", "suffix", "father", "place", "b0", "b1", "died").alias("r"))
-    right = docs.select(F.col("id").alias("doc"), F.struct("tokens", "suffix", "father", "place", "lo", "hi").alias("d"))
-    met = candidates(asked, indexed).join(left, "query").join(right, "doc").where(f"coalesce(r.suffix, '') = coalesce(d.suffix, '') and {TIME_FITS}")
-    wide = met.select(
-        "query", "doc", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("tokens", "suffix", "father", "place", "b0", "b1", "died")],
-        *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("tokens", "suffix", "father", "place", "lo", "hi")],
-    )
-    checked = cut(scored(arrow_map(wide, _check, _PAIR), asked, indexed))
-    features = ["gap", "likeness", "full", "extra", "same_place", "timed"]
-    sample = _ranked(checked).where("n = 1 and kin <> 0").orderBy(F.xxhash64("query")).limit(calibration_rows).select(*features, "kin").toPandas()
-    if sample.kin.nunique() == 2:
-        w = fit_logistic(sample[features].to_numpy(float), (sample.kin == 1).to_numpy(float)).tolist()
-    else:
-        w = [0.0, 1.0, 1.0, 0.5, -0.5, 1.0, 0.0]  # nothing to fit on
+    queries = cut(arrow_map(records.select("id", "tokens", "father", "kin", "places"), _query_terms, "id bigint, terms array<struct<term:string,weight:double>>"))
+    queries = queries.select(F.col("id").alias("query"), F.inline("terms")).select("query", F.xxhash64("term").alias("term"), "weight", F.col("term").startswith("f:").alias("kin"))
+    terms = arrow_map(spelt.select("id", "tokens"), _form_terms, "id bigint, terms array<string>").unionByName(arrow_map(attributes.select("id", "fathers", "places"), _fact_terms, "id bigint, terms array<string>"))
+    index = cut(postings(terms.select("id", F.explode("terms").alias("term")).select("id", F.xxhash64("term").alias("term"))))
+    heads = lambda df: df.select(F.lit("person").alias("type"), F.element_at("tokens", -1).alias("head"))
+    links = cut(head_links(heads(records).union(heads(spelt))))
+    met = candidates(records, spelt.join(attributes, "id"), links)
+    wide = met.select("query", "doc", "other", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("tokens", "father", "places", "b0")], *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("tokens", "fathers", "places", "lo")])
+    passed = arrow_map(wide, _check, _PAIR).withColumn("term", F.xxhash64(F.concat(F.lit("s:"), "other"))).join(index, ["term", "doc"])
+    best = F.max(F.struct("likeness", "full", (-F.col("extra")).alias("less"))).alias("b")
+    pairs = passed.groupBy("query", "doc").agg(best, F.max(F.col("head_likeness") * F.col("impact")).alias("head_score"), *[F.max(c).alias(c) for c in ("kin", "same_place", "timed")])
+    pairs = cut(pairs.select("query", "doc", "head_score", "b.likeness", "b.full", (-F.col("b.less")).alias("extra"), "kin", "same_place", "timed"))
+    known_fathers = records.select(F.col("id").alias("query"), F.col("father").alias("r_father")).join(pairs.where("kin <> 0").select("query", "doc"), "query").join(attributes.select(F.col("id").alias("doc"), F.col("fathers").alias("d_fathers")), "doc")
+    scored = cut(top_documents(pairs.where("kin <> 0"), queries.where("not kin").drop("kin"), index, k))  # what the fathers say isn't in the scores it is fitted on
+    queries = queries.drop("kin")
+    features, w, chance = calibrated(scored, known_fathers, calibration_rows)
     z = F.lit(w[0])
     for c, weight in zip(features, w[1:]):
         z = z + F.col(c) * weight
-    confidence = F.when(F.col("kin") == 1, F.greatest(1 / (1 + F.exp(-z)), F.lit(0.95))).otherwise(1 / (1 + F.exp(-z)))
-    fits = _ranked(checked.where("kin >= 0")).withColumn("confidence", F.round(confidence, 4))
+    odds = F.exp(z) / F.when(F.col("kin") == 1, chance).otherwise(1.0)
+    fits = _ranked(top_documents(pairs.where("kin >= 0"), queries, index, k)).withColumn("confidence", F.round(odds / (1 + odds), 4))
     near = cut(fits.where(f"(n = 1 or confidence >= {SURE}) and (full > 0 or kin = 1 or same_place = 1 or gap > 0.2)"))
     nearest = near.groupBy("doc").agg(F.max_by("query", F.struct("kin", F.col("n") == 1, "score", "query")).alias("best"))
     other = records.select(F.col("id").alias("best"), F.col("father").alias("o_father"), F.col("b0").alias("o0"), F.col("b1").alias("o1"))

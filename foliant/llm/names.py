@@ -26,8 +26,9 @@ def plain(text: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def spelt(token: str) -> str:
-    """One spelling for the spellings of a time: ph is f, y is i, z is s, h is silent, letters aren't doubled."""
-    t = token.replace("ph", "f").replace("y", "i").replace("z", "s").replace("h", "").replace("'", "").replace("’", "")
+    """One spelling for the spellings of a time: ph is f, y is i, z is s, h is silent but for the first letter, which an initial may stand for, letters aren't doubled."""
+    t = token.replace("ph", "f").replace("y", "i").replace("z", "s").replace("'", "").replace("’", "")
+    t = t[:1] + t[1:].replace("h", "")
     out = []
     for c in t:
         if not out or out[-1] != c:
