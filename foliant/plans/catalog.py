@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import more, relational, textual
+from foliant.plans import extracting, more, relational, retrieving, textual
 from foliant.registry import Registry
 
 
@@ -12,4 +12,6 @@ def core() -> Registry:
     relational.register(reg)
     textual.register(reg)
     more.register(reg)
+    for plans in (extracting, retrieving):
+        reg.include(plans.reg)
     return reg

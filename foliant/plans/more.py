@@ -42,60 +42,10 @@ q("fn_generation_years", f"select id, {YR} child, {YR} - 25 parent, {YR} - 50 gr
 q("fn_range_split", "select k part, (k * (n // 4) + 1)::bigint lo, (case when k = 3 then n else (k + 1) * (n // 4) end)::bigint hi from (select count(*) n from pages), range(0, 4) r(k)")(
     lambda e: e.pages.agg(F.count("*").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("part")).select(
         "part", (F.col("part") * F.floor(F.col("n") / 4) + 1).cast("long").alias("lo"), F.when(F.col("part") == 3, F.col("n")).otherwise((F.col("part") + 1) * F.floor(F.col("n") / 4)).cast("long").alias("hi")))
-POS = "list_filter([instr(lower(text), 'camara'), instr(lower(text), 'municipal'), instr(lower(text), 'rua')], lambda x: x > 0)"
-
-
-def positions(e: Evidence) -> DataFrame:
-    low = F.lower("text")
-    at = F.filter(F.array(*[F.instr(low, w) for w in ("camara", "municipal", "rua")]), lambda x: x > 0)
-    return X.docs(e).select("doc_id", at.alias("at"))
-
-
-q("fn_ordered_ratio", f"select doc_id, case when len(p) < 2 then 0.0::double when p = list_sort(p) then 1.0::double else 0.35::double end v from (select doc_id, {POS} p from documents where text is not null)")(
-    lambda e: positions(e).select("doc_id", F.when(F.size("at") < 2, 0.0).when(F.col("at") == F.array_sort("at"), 1.0).otherwise(0.35).alias("v")))
-q("fn_compactness", f"select doc_id, round(case when len(p) < 2 then 0.0::double else 1 - least(list_max(p) - list_min(p) + 1, 40) / 40 end, 6) v from (select doc_id, {POS} p from documents where text is not null)")(
-    lambda e: positions(e).select("doc_id", F.round(F.when(F.size("at") < 2, 0.0).otherwise(1 - F.least(F.array_max("at") - F.array_min("at") + 1, F.lit(40)) / 40), 6).alias("v")))
-q("fn_bulletize", "select doc_id, len(list_filter(string_split(text, e'\\n'), lambda x: trim(x) <> ''))::bigint bullets from documents where text is not null")(
-    lambda e: X.docs(e).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("bullets")))
-q("fn_section", "select doc_id, regexp_extract(text, '(?s)Que diremos (.*?)[?]', 1) v from documents where text is not null")(lambda e: X.docs(e).select("doc_id", F.regexp_extract("text", r"(?s)Que diremos (.*?)[?]", 1).alias("v")))
 q("fn_url_quote", "select id, replace(url_encode(strip_accents(canonical_name)), '+', '%20') v from entities")(lambda e: e.table("entities").select("id", T.url_quote(T.strip_accents(F.col("canonical_name"))).alias("v")))
-q("fn_evidence_snippet")(lambda e: X.docs(e).select("doc_id", T.snippet(F.col("text"), F.lit("camara municipal"), 210).alias("v")))
 q("fn_levenshtein", "select id, levenshtein(base_normalized_name, 'camara municipal')::bigint d from entities")(lambda e: e.table("entities").select("id", F.levenshtein("base_normalized_name", F.lit("camara municipal")).cast("long").alias("d")))
 
 
-def first_token_likeness(e: Evidence) -> DataFrame:
-    """Ratcliff-Obershelp likeness of every different first name to one name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([round(likeness("benedito", x or ""), 4) for x in b.column(0).to_pylist()], pa.float64())], names=["token", "likeness"])
-
-    tokens = e.table("entities").select(F.split_part("base_normalized_name", F.lit(" "), F.lit(1)).alias("token")).where("token is not null").distinct()
-    return arrow_map(tokens, run, "token string, likeness double")
-
-
-for _n in ("fn_seq_ratio", "ir_token_match", "fn_text_sim"):
-    q(_n)(first_token_likeness)
-q("ir_profile", "select 'camara municipal arrecife novo' focus")(lambda e: e.spark.range(1).select(T.focus_query(F.lit("busque informacoes sobre a Câmara Municipal do Arrecife Novo")).alias("focus")))
-q("set_variant_product", "select a || ' ' || b v from (values ('camara'), ('camaras')) x(a), (values ('municipal'), ('municipaes')) y(b)")(
-    lambda e: e.spark.range(1).select(F.explode(F.flatten(F.transform(F.array(F.lit("camara"), F.lit("camaras")), lambda a: F.transform(F.array(F.lit("municipal"), F.lit("municipaes")), lambda b: F.concat(a, F.lit(" "), b))))).alias("v")))
-q("ir_api_search", "select m.id, m.confidence from entity_mentions m join pg p on p.id = m.page_id where p.yr between 1840 and 1860 and m.snippet ilike '%camara%' and m.confidence >= 0.45 order by m.confidence desc, m.id limit 10")(
-    lambda e: top(e.mentions.where("snippet ilike '%camara%' and confidence >= 0.45").join(e.pages.where("yr between 1840 and 1860").select(F.col("id").alias("page_id")), "page_id", "left_semi").select("id", "confidence"), F.desc("confidence"), F.asc("id"), n=10))
-q("ir_cases", "select item_id, task, length(text) > 0 ok from benchmark_items")(lambda e: e.table("benchmark_items").select("item_id", "task", (F.length("text") > 0).alias("ok")))
-def _typed(pattern: str, group: int, kind: str):
-    return F.transform(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("name")))
-
-
-q("tf_entities")(lambda e: X.docs(e).select("doc_id", F.inline(F.concat(_typed(X.NAME, 0, "person"), _typed(X.INST, 0, "institution"), _typed(X.PLACE, 1, "place")))).distinct())
-q("tf_resolve_name", "select m.id, e.id entity_id from (select id, lower(strip_accents(surface_form)) k from entity_mentions where surface_form <> '') m left join (select lower(strip_accents(canonical_name)) k, min(id) id from entities group by 1) e using (k)")(
-    lambda e: (lambda n: e.mentions.where("surface_form <> ''").select("id", F.lower(T.strip_accents(F.col("surface_form"))).alias("k")).join(n, "k", "left").select("id", "entity_id"))(e.table("entities").groupBy(F.lower(T.strip_accents(F.col("canonical_name"))).alias("k")).agg(F.min("id").alias("entity_id"))))
-q("tf_resolve_rel_entity", "select r.id, case when o.eff in ('rejected', 'merged') then null else r.object_entity_id end object_id from relations r left join ent o on o.id = r.object_entity_id")(
-    lambda e: e.relations.select("id", "object_entity_id").join(e.entities.select(F.col("id").alias("object_entity_id"), "eff"), "object_entity_id", "left").select("id", F.when(F.col("eff").isin("rejected", "merged"), None).otherwise(F.col("object_entity_id")).alias("object_id")))
-q("tf_chunk_to_facts")(lambda e: X.docs(e).select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(X.NAME), F.lit(0)))).cast("long").alias("people"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(X.INST), F.lit(0)))).cast("long").alias("institutions")))
-for _n in ("tf_process_bib", "tf_process_all"):
-    q(_n, f"select bib, count(*) docs, sum(len(regexp_extract_all(text, '{X.NAME}')))::bigint names from documents where text is not null group by 1")(
-        lambda e: X.docs(e).groupBy("bib").agg(long_count("docs"), F.sum(F.size(F.regexp_extract_all("text", F.lit(X.NAME), F.lit(0)))).cast("long").alias("names")))
-q("tf_json_records", "select id, attrs->>'title' title, attrs->>'role' as role from ent where attrs is not null")(lambda e: e.entities.where("attrs is not null").select("id", F.col("attrs")["title"].alias("title"), F.col("attrs")["role"].alias("role")))
 q("src_llm_json", "select id, unnest(coalesce(from_json(attrs->'identity_hints', '[\"VARCHAR\"]'), [])) hint from ent")(lambda e: e.entities.select("id", F.explode("hints").alias("hint")))
 q("src_img_folder_meta", "select id, split_part(image_path, '/', 3) folder, regexp_extract(image_path, '([0-9]+)[.]jpg$', 1) page from pages where image_path is not null")(
     lambda e: e.table("pages").where("image_path is not null").select("id", F.split_part("image_path", F.lit("/"), F.lit(3)).alias("folder"), F.regexp_extract("image_path", r"([0-9]+)\.jpg$", 1).alias("page")))

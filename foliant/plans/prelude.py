@@ -1,4 +1,13 @@
-"""Shared SQL of the checks: the evidence star in DuckDB's dialect."""
+"""Shared SQL of the checks: the evidence star in DuckDB's dialect, and how plans are registered."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from foliant.registry import Registry
+from foliant.sources.evidence import Evidence
 
 YEAR = "case when regexp_matches(trim(regexp_replace({c}, '^(?i:ano) ', '')), '^[0-9]{{4}}$') then trim(regexp_replace({c}, '^(?i:ano) ', ''))::int end"
 
@@ -25,3 +34,17 @@ star as (select m.id, m.entity_id, m.page_id, m.surface_form, m.snippet, m.confi
 def with_star(sql: str) -> str:
     """`sql` with the star's tables in front; its own WITH goes on from theirs."""
     return PRE + ("," + sql[4:] if sql.startswith("with ") else sql)
+
+
+def registrar() -> tuple[Registry, Callable[..., Callable]]:
+    """A registry, and a decorator (name, SQL) for builders that take the evidence."""
+    reg = Registry()
+
+    def q(name: str, sql: str | None = None) -> Callable:
+        def keep(build: Callable[[Evidence], DataFrame]) -> Callable:
+            reg.add(name, lambda spark, d: build(Evidence(spark, d)), None if sql is None else with_star(sql))
+            return build
+
+        return keep
+
+    return reg, q

@@ -61,8 +61,7 @@ scalar("flt_dense_page", lambda: (F.regexp_count(TEXT(), F.lit("(?i)filho|filha|
 scalar("rx_date_signal", lambda: TEXT().rlike(r"(?i)\d{1,2} de [a-zç]+ de \d{4}|anno de \d{4}|hoje \d"), "regexp_matches(text, '(?i)\\d{1,2} de [a-zç]+ de \\d{4}|anno de \\d{4}|hoje \\d')")
 scalar("rx_bio", lambda: F.regexp_count(TEXT(), F.lit("(?i)filho|filha|falleceu|nomeado|morador|escravo")).cast("long"), "len(regexp_extract_all(text, '(?i)filho|filha|falleceu|nomeado|morador|escravo'))")
 scalar("q_heading", lambda: F.round(F.size(F.filter(F.slice(F.filter(F.split(TEXT(), "\n"), lambda x: F.trim(x) != ""), 1, 12), lambda x: (x == F.upper(x)) & x.rlike("[A-Z]") & (F.size(F.split(F.trim(x), " ")) <= 8))) / F.greatest(F.least(F.size(F.filter(F.split(TEXT(), "\n"), lambda x: F.trim(x) != "")), F.lit(12)), F.lit(1)), 6), "round(len(list_filter(list_filter(string_split(text, e'\\n'), lambda x: trim(x) <> '')[1:12], lambda x: x = upper(x) and regexp_matches(x, '[A-Z]') and len(string_split(trim(x), ' ')) <= 8)) / greatest(least(len(list_filter(string_split(text, e'\\n'), lambda x: trim(x) <> '')), 12), 1), 6)")
-for _n, _c in (("fn_normalize_text", T.normalize_text), ("fn_tokenize_sig", lambda x: F.array_join(T.significant_tokens(x), " ")), ("fn_focus_query", T.focus_query), ("fn_clean_text", T.clean_text)):
-    q(_n)(lambda e, c=_c: docs(e).select("doc_id", c(TEXT()).alias("v")))
+q("fn_clean_text")(lambda e: docs(e).select("doc_id", T.clean_text(TEXT()).alias("v")))
 
 
 def over_entities(name: str, value: Callable[[], Column], sql: str | None) -> None:
@@ -73,8 +72,6 @@ FOLD = "lower(strip_accents(canonical_name))"
 over_entities("fn_strip_accents", lambda: T.strip_accents(NAMES()), "strip_accents(canonical_name)")
 over_entities("fn_normalize_name", lambda: T.normalize_name(NAMES()), f"trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(replace({FOLD}, '’', ''''), '\\bd['' ]', 'de ', 'g'), 'benedicto', 'benedito'), 'affonso', 'afonso'), '[^a-z0-9''\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
 over_entities("fn_norm_parish", lambda: T.normalize_parish(NAMES()), f"trim(regexp_replace(regexp_replace({FOLD}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
-over_entities("fn_canon_person", lambda: T.person_key(NAMES()), "case when len(string_split(trim(regexp_replace(canonical_name, '^[ ,.;:-]+|[ ,.;:-]+$', '', 'g')), ' ')) <= 2 then trim(regexp_replace(canonical_name, '^[ ,.;:-]+|[ ,.;:-]+$', '', 'g')) else array_to_string(list_filter(string_split(trim(regexp_replace(canonical_name, '^[ ,.;:-]+|[ ,.;:-]+$', '', 'g')), ' '), lambda x: lower(x) not in ('de','da','do','das','dos','e','em','para','por','com','sem')), ' ') end")
-over_entities("fn_last_token", lambda: T.last_token(NAMES()), "list_last(string_split(canonical_name, ' '))")
 over_entities("fn_slug", lambda: T.slug(T.strip_accents(NAMES())), "trim(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9._-]+', '-', 'g'), '-')")
 over_entities("fn_page_url", lambda: F.concat(F.lit("/pagina?q="), T.url_quote(T.strip_accents(NAMES()))), "'/pagina?q=' || url_encode(strip_accents(canonical_name))")
 over_entities("fn_node_ids", lambda: F.concat(F.lit("entity_"), F.col("id")), "'entity_' || id")
@@ -85,9 +82,6 @@ over_entities("fn_format_period", lambda: Y.period(Y.year_any(F.col("first_seen_
 over_entities("fn_merge_year", lambda: F.least(Y.year_any(F.col("first_seen_year")), Y.year_any(F.col("last_seen_year"))), f"least({YA}, {YB})")
 over_entities("fn_years_compatible", lambda: Y.years_compatible(Y.year_any(F.col("first_seen_year")), Y.year_any(F.col("last_seen_year"))), f"coalesce(abs({YA} - {YB}) <= 60, true)")
 over_entities("fn_decade", lambda: Y.decade(Y.year_any(F.col("first_seen_year"))), f"(({YA} // 10) * 10)::int")
-over_entities("fn_aliases", lambda: F.array_join(alias_set(), "|"), f"array_to_string({R.ALIAS}, '|')")
-over_entities("fn_person_conf", lambda: F.round(F.least(0.55 + 0.07 * F.least(F.size(F.split(NAMES(), " ")), F.lit(5)), F.lit(0.96)), 6), "round(least(0.55::double + 0.07::double * least(len(string_split(canonical_name, ' ')), 5), 0.96), 6)")
-over_entities("tf_truncated", lambda: Q.looks_truncated(NAMES()), "(length(list_last(string_split(canonical_name, ' '))) <= 3 and regexp_matches(list_last(string_split(canonical_name, ' ')), '^\\p{Lu}') and len(string_split(canonical_name, ' ')) >= 2) or (length(list_last(string_split(canonical_name, ' '))) >= 3 and not regexp_matches(list_last(string_split(canonical_name, ' ')), '(?i)[aeiouáàâãéêíóôõú]'))")
 for _n in ("flt_legible_name", "flt_graph_legible", "flt_merge_legible"):
     over_entities(_n, lambda: Q.legible_name(NAMES()), None)
 
@@ -184,48 +178,6 @@ q("src_page_meta", "select m.id, p.bib, p.pagina from entity_mentions m left joi
 q("src_parish_json", "select id, unnest(from_json(godparents_json, '[\"VARCHAR\"]')) godparent from parish_records where json_valid(godparents_json)")(
     lambda e: e.table("parish_records").select("id", F.explode(F.from_json("godparents_json", "array<string>", {"allowSingleQuotes": "false"})).alias("godparent")))
 
-# extraction
-
-UP, LOW = "[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ]", "[a-záàâãéêíóôõúç]"
-NAME = f"{UP}{LOW}+(?: (?:(?:de|da|do|das|dos|e) )?{UP}{LOW}+){{1,6}}"
-INST = f"(?:Associação|Sociedade|Companhia|Camara|Alfandega|Mesa|Thesouraria|Typographia|Igreja|Junta|Academia|Irmandade)(?: (?:{UP}{LOW}+|de|do|da|dos|das|e)){{0,10}}"
-PLACE = f"(?:em|na|no|para) ({UP}{LOW}+(?: (?:de|do|da|dos|das) {UP}{LOW}+){{0,3}})"
-
-
-def matches(name: str, pattern: str, group: int, out: str = "name") -> None:
-    q(name, f"select doc_id, {out}, count(*) n from (select doc_id, unnest(regexp_extract_all(text, '{pattern}', {group})) {out} from documents where text is not null) group by 1, 2")(
-        lambda e: docs(e).select("doc_id", F.explode(F.regexp_extract_all(TEXT(), F.lit(pattern), F.lit(group))).alias(out)).groupBy("doc_id", out).agg(long_count("n")))
-
-
-for _n in ("tf_people", "rx_person", "tf_rag_people"):
-    matches(_n, NAME, 0)
-for _n in ("tf_institutions", "rx_institution"):
-    matches(_n, INST, 0)
-for _n in ("tf_places", "rx_place"):
-    matches(_n, PLACE, 1)
-PAIRS = {"child_of": f"({NAME}),? filh[oa] (?:legitim[oa] )?de ({NAME})", "member_of": f"({NAME}),? socio d[ao] ({INST})", "resident_of": f"({NAME}),? morador (?:em|na|no) ({UP}?{LOW}+)", "traveled_to": f"({NAME}),? embarcou para ({UP}{LOW}+)"}
-
-
-def relations_in(texts: DataFrame) -> DataFrame:
-    """(doc_id, subject, predicate, object) by the patterns of PAIRS."""
-    def found(kind: str, pattern: str) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(TEXT(), F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(TEXT(), F.lit(pattern), F.lit(2)).alias("o"))
-        return F.transform(pairs, lambda x: F.struct(x["s"].alias("subject"), F.lit(kind).alias("predicate"), x["o"].alias("object")))
-
-    return texts.select("doc_id", F.inline(F.concat(*[found(k, p) for k, p in PAIRS.items()]))).distinct()
-
-
-for _n in ("tf_rel_pattern", "rx_relations", "tf_rel_residence"):
-    q(_n, "select distinct * from (" + " union all ".join(f"select doc_id, unnest(regexp_extract_all(text, '{p}', 1)) subject, '{k}' predicate, unnest(regexp_extract_all(text, '{p}', 2)) object from documents where text is not null" for k, p in PAIRS.items()) + ")")(lambda e: relations_in(docs(e)))
-q("tf_rel_role", "select id, attrs->>'title' as role, round(least((attrs->>'identity_confidence')::double, 0.94), 6) confidence from ent where type = 'person' and attrs->>'title' <> ''")(
-    lambda e: e.entities.where("type = 'person' and attrs['title'] <> ''").select("id", F.col("attrs")["title"].alias("role"), F.round(F.least(F.col("attrs")["identity_confidence"].cast("double"), F.lit(0.94)), 6).alias("confidence")))
-q("tf_rel_cooccur", "select a.chunk_id, a.entity_id a, b.entity_id b from (select distinct chunk_id, entity_id from star where 1 = 0 union select distinct chunk_id, entity_id from entity_mentions) a join (select distinct chunk_id, entity_id from entity_mentions) b on a.chunk_id = b.chunk_id and a.entity_id < b.entity_id".replace("select distinct chunk_id, entity_id from star where 1 = 0 union ", ""))(
-    lambda e: (lambda m: m.withColumnRenamed("entity_id", "a").join(m.withColumnRenamed("entity_id", "b"), "chunk_id").where("a < b"))(e.mentions.select("chunk_id", "entity_id").distinct()))
-q("tf_identity", "select id, base_normalized_name || case when len(h) > 0 then '::' || array_to_string(h, '+') else '' end identity_key, case when len(h) = 0 then 'resolved' when len(list_filter(h, lambda x: x like 'title:%' or x like 'role:%' or x like 'family:%')) > 0 or len(string_split(base_normalized_name, ' ')) >= 3 then 'contextual' else 'ambiguous' end status from (select id, base_normalized_name, coalesce(from_json(attrs->'identity_hints', '[\"VARCHAR\"]'), []) h from ent)")(
-    lambda e: e.entities.withColumn("h", F.coalesce("hints", F.array().cast("array<string>"))).select(
-        "id", F.concat("base_normalized_name", F.when(F.size("h") > 0, F.concat(F.lit("::"), F.array_join("h", "+"))).otherwise("")).alias("identity_key"),
-        F.when(F.size("h") == 0, "resolved").when(F.exists("h", lambda x: x.rlike("^(title|role|family):")) | (F.size(F.split("base_normalized_name", " ")) >= 3), "contextual").otherwise("ambiguous").alias("status")))
-
 # chunking
 
 q("ch_fixed", "select doc_id, g.i::int chunk, md5(substring(text, (g.i * 800 + 1)::int, 1000)) chunk_md5 from documents, range(0, greatest(1, ceil((length(text) - 200) / 800))::int) g(i) where text is not null")(
@@ -263,9 +215,6 @@ q("ch_doc")(lambda e: ch_recursive(e).select("doc_id", "chunk", F.concat(F.lit("
 
 # retrieval
 
-QUESTION = ["camara", "municipal", "arrecife", "novo"]
-q("ir_score_text")(lambda e: top(docs(e).select("doc_id", T.normalize_text(TEXT()).alias("text")).select("doc_id", exact_score(TEXT(), QUESTION).alias("score")).where("score > 0"), F.desc("score"), F.asc("doc_id"), n=50))
-q("ir_lexical")(lambda e: fuzzy_search(e.table("documents"), "doc_id", "text", " ".join(QUESTION)))
 COS = "select q.vec_id query, v.vec_id neighbour, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) score from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0"
 
 
@@ -275,38 +224,9 @@ def neighbours(e: Evidence) -> DataFrame:
     return vector_search(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding")
 
 
-for _n in ("ir_vector", "fn_cosine_score"):
+for _n in ("ir_vector",):
     q(_n, f"select query, neighbour, score, rank from (select *, (row_number() over (partition by query order by score desc, neighbour))::int as rank from ({COS})) where rank <= 10")(neighbours)
-METRICS = f"with r as (select * from (select *, row_number() over (partition by query order by score desc, neighbour) rank from ({COS})) where rank <= 5), rel as (select q.vec_id query, v.vec_id doc from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 20 = 0), n as (select query, count(*) n from rel group by 1), g as (select r.query, count(*) found, min(rank) first, sum(1 / log2(rank + 1)) dcg from r join rel on rel.query = r.query and rel.doc = r.neighbour group by 1), m as (select n.query, case when found > 0 then 1.0::double else 0.0::double end hit, round(coalesce(found / n, 0), 6) recall, round(coalesce(1 / first, 0), 6) rr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6) ndcg from n left join g using (query))"
-
-
-def evaluated(e: Evidence) -> DataFrame:
-    v = e.table("embeddings")
-    rel = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("query <> doc")
-    return ranking_metrics(neighbours(e).withColumnRenamed("neighbour", "doc"), rel)
-
-
-for _n in ("ir_evaluate", "fn_dcg"):
-    q(_n, METRICS + " select * from m")(evaluated)
-for _n in ("agg_ir_metrics", "ir_aggregate"):
-    q(_n, METRICS + " select count(*) queries, round(avg(hit), 4) hit, round(avg(recall), 4) recall, round(avg(rr), 4) mrr, round(avg(ndcg), 4) ndcg from m")(
-        lambda e: evaluated(e).agg(long_count("queries"), *[F.round(F.avg(a), 4).alias(b) for a, b in (("hit", "hit"), ("recall", "recall"), ("rr", "mrr"), ("ndcg", "ndcg"))]))
 q("ir_index_stats", "select count(*) vectors, count(distinct label) labels from embeddings")(lambda e: e.table("embeddings").agg(long_count("vectors"), F.count_distinct("label").alias("labels")))
-HYB = "with a as (select entity_id, max(confidence) s from entity_mentions where snippet ilike '%municipal%' group by 1), b as (select entity_id, max(confidence) s from entity_mentions where surface_form ilike '%camara%' group by 1) select entity_id, round(case when a.s is not null and b.s is not null then least(1.0::double, greatest(a.s, b.s) + 0.12::double * least(a.s, b.s) + 0.05::double) else greatest(coalesce(a.s, 0), coalesce(b.s, 0)) end, 6) score from a full join b using (entity_id)"
-
-
-def hybrid(e: Evidence) -> DataFrame:
-    a = e.mentions.where("snippet ilike '%municipal%'").groupBy("entity_id").agg(F.max("confidence").alias("x"))
-    b = e.mentions.where("surface_form ilike '%camara%'").groupBy("entity_id").agg(F.max("confidence").alias("y"))
-    return a.join(b, "entity_id", "full_outer").select("entity_id", F.round(fused(F.col("x"), F.col("y")), 6).alias("score"))
-
-
-for _n in ("jn_search_hybrid", "ir_hybrid", "fn_hybrid_fuse"):
-    q(_n, HYB)(hybrid)
-q("cq_search", HYB + " order by score desc, entity_id limit 20")(lambda e: top(hybrid(e), F.desc("score"), F.asc("entity_id")))
-q("ir_rag_context", "select page_id, string_agg(id || ': ' || left(snippet, 80), ' --- ' order by id) context from entity_mentions where snippet ilike '%camara municipal%' group by 1")(
-    lambda e: e.mentions.where("snippet ilike '%camara municipal%'").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.left("snippet", F.lit(80)).alias("s")))), lambda x: F.concat(x["id"], F.lit(": "), x["s"])), " --- ").alias("context")))
-
 # sinks as set transforms
 
 q("snk_upsert_page", "select bib, lpad(ltrim(pagina, '0'), 8, '0') pagina, arg_max(jornal, id) jornal, arg_max(text_path, id) filter (where text_path is not null) text_path from pages group by 1, 2")(

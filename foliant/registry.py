@@ -33,3 +33,8 @@ class Registry:
             return builder
 
         return keep
+
+    def include(self, other: Registry) -> None:
+        """Add all queries of `other`."""
+        for name, build in other.builders.items():
+            self.add(name, build, other.sql.get(name))
