@@ -58,8 +58,9 @@ def normalize_name(c: Column) -> Column:
 
 
 def normalize_parish(c: Column) -> Column:
-    """The register's normal form: letters and digits only."""
-    return compact(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9\s]", " "))
+    """The register's normal form: letters and digits only, d' as de."""
+    plain = F.regexp_replace(F.trim(F.lower(strip_accents(c))), r"\bd[' ]\b", "de ")
+    return compact(F.regexp_replace(plain, r"[^a-z0-9\s]", " "))
 
 
 def significant_tokens(c: Column) -> Column:

@@ -33,6 +33,9 @@ star as (select m.id, m.entity_id, m.page_id, m.surface_form, m.snippet, m.confi
 
 def with_star(sql: str) -> str:
     """`sql` with the star's tables in front; its own WITH goes on from theirs."""
+    sql = sql.strip()
+    if sql.startswith("with recursive "):
+        return PRE.replace("with pg", "with recursive pg", 1) + "," + sql[len("with recursive") :]
     return PRE + ("," + sql[4:] if sql.startswith("with ") else sql)
 
 

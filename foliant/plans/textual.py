@@ -71,7 +71,7 @@ def over_entities(name: str, value: Callable[[], Column], sql: str | None) -> No
 FOLD = "lower(strip_accents(canonical_name))"
 over_entities("fn_strip_accents", lambda: T.strip_accents(NAMES()), "strip_accents(canonical_name)")
 over_entities("fn_normalize_name", lambda: T.normalize_name(NAMES()), f"trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(replace({FOLD}, '’', ''''), '\\bd['' ]', 'de ', 'g'), 'benedicto', 'benedito'), 'affonso', 'afonso'), '[^a-z0-9''\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
-over_entities("fn_norm_parish", lambda: T.normalize_parish(NAMES()), f"trim(regexp_replace(regexp_replace({FOLD}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
+over_entities("fn_norm_parish", lambda: T.normalize_parish(NAMES()), f"trim(regexp_replace(regexp_replace(regexp_replace(trim({FOLD}), '\\bd['' ]\\b', 'de ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
 over_entities("fn_slug", lambda: T.slug(T.strip_accents(NAMES())), "trim(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9._-]+', '-', 'g'), '-')")
 over_entities("fn_page_url", lambda: F.concat(F.lit("/pagina?q="), T.url_quote(T.strip_accents(NAMES()))), "'/pagina?q=' || url_encode(strip_accents(canonical_name))")
 over_entities("fn_node_ids", lambda: F.concat(F.lit("entity_"), F.col("id")), "'entity_' || id")
@@ -97,7 +97,6 @@ def q_discovery_noise(e: Evidence) -> DataFrame:
     return e.entities.select("id", s.alias("score"), Q.is_discovery_noise(F.col("type"), s).alias("noise"))
 
 
-q("er_noise")(q_entity_noise)
 
 
 @q("q_ocr_score")
@@ -253,14 +252,6 @@ def merge_map(e: Evidence) -> DataFrame:
     return connected_components(last.where("s = 'approved'"), "a", "b")
 
 
-def merged_mentions(e: Evidence) -> DataFrame:
-    m = e.mentions.join(merge_map(e).withColumnRenamed("node", "entity_id"), "entity_id", "left").withColumn("target", F.coalesce("component", "entity_id"))
-    return m.groupBy("target", "page_id", "chunk_id", "surface_form").agg(F.min("id").alias("id"))
-
-
-for _n in ("snk_merge_entities", "er_merge"):
-    q(_n, MERGE + " select target, min(id) id from re group by target, page_id, chunk_id, surface_form")(lambda e: merged_mentions(e).select("target", "id"))
-q("er_auto", MERGE + " select u node, c component from h6")(merge_map)
 q("snk_meta_merge", "select p.id, coalesce(nullif(nullif(p.jornal, '?'), ''), d.nome) jornal from pages p left join (select bib, max(source) nome from documents group by 1) d using (bib)")(
     lambda e: e.pages.join(e.table("documents").groupBy("bib").agg(F.max("source").alias("nome")), "bib", "left").select("id", F.coalesce(F.nullif(F.nullif("jornal", F.lit("?")), F.lit("")), "nome").alias("jornal")))
 q("snk_index_add", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")(lambda e: e.table("documents").select("doc_id").join(e.table("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti"))
@@ -268,32 +259,6 @@ q("snk_index_clear", "select label, count(*) kept from embeddings where label <>
 q("snk_index_all", "select bib, count(*) chunks from documents group by 1")(lambda e: e.table("documents").groupBy("bib").agg(long_count("chunks")))
 q("snk_parish_upsert", "select source_collection, source_page, person_name, min(id) id from parish_records group by 1, 2, 3")(lambda e: e.table("parish_records").groupBy("source_collection", "source_page", "person_name").agg(F.min("id").alias("id")))
 
-# entity resolution
-
-DUP = "select a.id, min(a.id) over (partition by a.type, a.base_normalized_name) target from act a qualify count(*) over (partition by a.type, a.base_normalized_name) > 1"
-q("er_exact_dup", DUP)(lambda e: (lambda g: e.active.select("id", "type", "base_normalized_name").join(g, ["type", "base_normalized_name"]).select("id", "target"))(e.active.groupBy("type", "base_normalized_name").agg(F.min("id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")))
-ERSQL = f"with k as (select id, base_normalized_name b, 'b:' || base_normalized_name x from act where type = 'person' union all select id, base_normalized_name, 'a:' || unnest({R.ALIAS}) from act where type = 'person'), p as (select l.id a, r.id b, max(case when l.b = r.b then 5 else 0 end) + max(case when left(l.x, 2) = 'a:' then 3 else 0 end) s from k l join k r on l.x = r.x and l.id < r.id group by 1, 2), m as (select entity_id, count(*) n from entity_mentions group by 1), s as (select p.a, p.b, round(p.s + least(coalesce(m.n, 0), 25) / 25, 2) score from p left join m on m.entity_id = p.b)"
-
-
-def merge_scores(e: Evidence) -> DataFrame:
-    """(a, b, score) of the persons that share their base name (5) or an alias (3), plus up to 1 for the mentions of b."""
-    p = e.active.where("type = 'person'").select("id", "base_normalized_name", "aliases_json")
-    k = p.select("id", F.col("base_normalized_name").alias("base"), F.explode(F.concat(F.array(F.concat(F.lit("b:"), "base_normalized_name")), F.transform(F.coalesce(alias_set(), F.array().cast("array<string>")), lambda x: F.concat(F.lit("a:"), x)))).alias("x"))
-    pairs = k.select(F.col("id").alias("a"), F.col("base").alias("ba"), "x").join(k.select(F.col("id").alias("b"), F.col("base").alias("bb"), "x"), "x").where("a < b")
-    s = pairs.groupBy("a", "b").agg((F.max(F.when(F.col("ba") == F.col("bb"), 5).otherwise(0)) + F.max(F.when(F.col("x").startswith("a:"), 3).otherwise(0))).alias("s"))
-    m = e.mentions.groupBy(F.col("entity_id").alias("b")).agg(F.count("*").alias("n"))
-    return s.join(m, "b", "left").select("a", "b", F.round(F.col("s") + F.least(F.coalesce("n", F.lit(0)), F.lit(25)) / 25, 2).alias("score"))
-
-
-for _n in ("er_score", "er_candidates", "jn_merge_block"):
-    q(_n, ERSQL + " select * from s")(merge_scores)
-q("er_direction", ERSQL + " select case when coalesce(x.n, 0) >= coalesce(y.n, 0) then s.b else s.a end source, case when coalesce(x.n, 0) >= coalesce(y.n, 0) then s.a else s.b end target from s left join m x on x.entity_id = s.a left join m y on y.entity_id = s.b")(
-    lambda e: (lambda m: merge_scores(e).join(m.select(F.col("entity_id").alias("a"), F.col("n").alias("x")), "a", "left").join(m.select(F.col("entity_id").alias("b"), F.col("n").alias("y")), "b", "left").withColumn("l", F.coalesce("x", F.lit(0)) >= F.coalesce("y", F.lit(0)))
-               .select(F.when(F.col("l"), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(F.col("l"), F.col("a")).otherwise(F.col("b")).alias("target")))(e.mentions.groupBy("entity_id").agg(F.count("*").alias("n"))))
-for _n in ("er_queue", "er_review_queue", "cq_review_queue"):
-    q(_n, ERSQL + " select s.* from s where score >= 5 and not exists (select 1 from entity_merge_reviews v where least(v.source_entity_id, v.target_entity_id) = s.a and greatest(v.source_entity_id, v.target_entity_id) = s.b)")(
-        lambda e: merge_scores(e).where("score >= 5").join(e.table("entity_merge_reviews").select(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b")), ["a", "b"], "left_anti"))
-
 # graphs
 
 NODES = "select type, count(*) nodes from (select 'person_or_place' type, id::varchar id from act union all select 'page', id::varchar from pages union all select 'publication', bib from (select distinct bib from pages) union all select 'literal', l from (select distinct predicate || '_' || lower(object_literal) l from relations where object_entity_id is null and predicate is not null and object_literal is not null)) group by 1"
@@ -356,43 +321,6 @@ for _n in ("gr_ego", "gr_subgraph"):
 for _n in ("gr_family_tree", "cq_family"):
     walk(_n, FAM_SQL, "select min(subject_entity_id) node from relations where predicate = 'child_of' and object_entity_id is not null", 3, family_edges, lambda e: e.relations.where("predicate = 'child_of' and object_entity_id is not null").agg(F.min("subject_entity_id").alias("node")))
 
-# registers
-
-KIN = {"father_name": "child_of", "mother_name": "child_of", "spouse_name": "spouse_of", "paternal_grandfather": "grandchild_of", "paternal_grandmother": "grandchild_of", "maternal_grandfather": "grandchild_of", "maternal_grandmother": "grandchild_of"}
-PN = "trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-PR_SQL = "select distinct src, predicate, dst from (" + " union all ".join(f"select {PN.format('person_name')} src, '{p}' predicate, {PN.format(col)} dst from parish_records" for col, p in KIN.items()) + ") where src <> '' and dst <> '' and dst not in ('incognito', 'pai incognito', 'mae incognita', 'desconhecido')"
-
-
-def parish_edges(e: Evidence) -> DataFrame:
-    """(src, predicate, dst) between the normalised names of the registers, unknown parents left out."""
-    p = e.table("parish_records")
-    rows = p.select(T.normalize_parish(F.col("person_name")).alias("src"), F.inline(F.array(*[F.struct(F.lit(k).alias("predicate"), T.normalize_parish(F.col(col)).alias("dst")) for col, k in KIN.items()])))
-    return rows.where("src <> '' and dst <> '' and dst not in ('incognito', 'pai incognito', 'mae incognita', 'desconhecido')").select("src", "predicate", "dst").distinct()
-
-
-q("pr_graph", PR_SQL)(parish_edges)
-walk("pr_subgraph", f"select src, dst from ({PR_SQL}) union select dst, src from ({PR_SQL})", f"select min(src) node from ({PR_SQL})", 2, lambda e: (lambda f: f.select("src", "dst").union(f.select("dst", "src")).distinct())(parish_edges(e)), lambda e: parish_edges(e).agg(F.min("src").alias("node")))
-q("pr_trees", f"select dst, count(distinct src) children from ({PR_SQL}) where predicate = 'child_of' group by 1 having count(distinct src) >= 2")(lambda e: parish_edges(e).where("predicate = 'child_of'").groupBy("dst").agg(F.count_distinct("src").alias("children")).where("children >= 2"))
-for _n in ("pr_stats", "cq_parish_stats"):
-    q(_n, "select lower(record_type) record_type, count(*) records, count(distinct parish) parishes from parish_records group by 1")(lambda e: e.table("parish_records").groupBy(F.lower("record_type").alias("record_type")).agg(long_count("records"), F.count_distinct("parish").alias("parishes")))
-for _n in ("pr_search", "cq_parish_search"):
-    q(_n, "select id from parish_records where person_name ilike '%silva%' or father_name ilike '%silva%' or mother_name ilike '%silva%'")(lambda e: e.table("parish_records").where("person_name ilike '%silva%' or father_name ilike '%silva%' or mother_name ilike '%silva%'").select("id"))
-COMMON = ["jesus", "sousa", "silva", "costa", "maria", "santos", "jose", "joze", "manoel", "antonio", "francisco", "joao", "anna", "joaquim", "pedro"]
-XREF = f"with pt as (select id, unnest(list_distinct(string_split({PN.format('person_name')}, ' '))) x from parish_records), et as (select id, unnest(list_distinct(string_split(base_normalized_name, ' '))) x from entities where type = 'person'), s as (select pt.id record_id, et.id entity_id, count(*) common from pt join et on pt.x = et.x where length(pt.x) >= 4 and pt.x not in ({', '.join(map(repr, COMMON))}) group by 1, 2), m as (select *, row_number() over (partition by record_id order by common desc, entity_id) k from s where common >= 2) select record_id, entity_id, common from m where k <= 10"
-
-
-def cross_reference(e: Evidence) -> DataFrame:
-    """Register and entity rows that share two tokens of four letters that aren't common names, the ten best a record."""
-    tok = lambda df, c, name: df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.split(c, " "))).alias("x")).where((F.length("x") >= 4) & ~F.col("x").isin(*COMMON))
-    p = tok(e.table("parish_records"), T.normalize_parish(F.col("person_name")), "record_id")
-    n = tok(e.table("entities").where("type = 'person'"), F.col("base_normalized_name"), "entity_id")
-    s = p.join(n, "x").groupBy("record_id", "entity_id").agg(long_count("common")).where("common >= 2")
-    return first_by(s, ["record_id"], F.desc("common"), F.asc("entity_id"), n=10)
-
-
-for _n in ("pr_crossref", "jn_substring_block", "pr_conf", "gr_bridges"):
-    q(_n, XREF)(cross_reference)
-
 # streams
 
 reg.add("st_tumbling", S.tumbling_counts, "select time_bucket(interval '1 hour', ts) start, event_type, count(*) events from events group by 1, 2")
