@@ -90,8 +90,12 @@ def _has(tokens: Column, words: list[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
 
 
-def entity_noise(kind: Column, name: Column, status: Column, hints: Column) -> Column:
-    """The noise score of a person's name, the largest of the rules that hold; 0 for other kinds."""
+#: The rules of noise_of(), in order.
+NOISE = ["phrase", "vessel", "place", "institution", "place word", "place start", "editorial", "generic", "year only", "two short"]
+
+
+def noise_of(kind: Column, name: Column, status: Column, hints: Column) -> tuple[Column, Column]:
+    """(noise score, the rules that hold) of a person's name; the score is that of the strongest rule, 0 for other kinds. The weights are fixed values."""
     n = normalize_name(F.coalesce(name, F.lit("")))
     t = F.filter(F.split(n, " "), lambda x: x != "")
     first = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
@@ -107,7 +111,14 @@ def entity_noise(kind: Column, name: Column, status: Column, hints: Column) -> C
         (F.coalesce(status.isin("ambiguous", "contextual") & (F.size(hints) > 0) & F.forall(hints, lambda h: h.startswith("year:")), F.lit(False)), 0.58),
         ((F.size(t) == 2) & F.forall(t, lambda x: F.length(x) <= 4), 0.52),
     ]
-    return F.when(kind == "person", F.greatest(F.lit(0.0), *[F.when(c, v).otherwise(0.0) for c, v in rules])).otherwise(0.0)
+    return F.when(kind == "person", F.greatest(F.lit(0.0), *[F.when(c, v).otherwise(0.0) for c, v in rules])).otherwise(0.0), F.when(
+        kind == "person", F.array_compact(F.array(*[F.when(c, F.lit(name)) for (c, _), name in zip(rules, NOISE)]))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def entity_noise(kind: Column, name: Column, status: Column, hints: Column) -> Column:
+    """The noise score of a person's name, the largest of the rules that hold; 0 for other kinds."""
+    return noise_of(kind, name, status, hints)[0]
 
 
 def discovery_noise(kind: Column, name: Column, status: Column, hints: Column) -> Column:
@@ -136,15 +147,37 @@ def is_discovery_noise(kind: Column, score: Column) -> Column:
     return F.when(kind == "person", score >= 0.55).otherwise(score >= 0.6)
 
 
+#: Formulas and foreign words that no name holds; names that make a short one recognisable; words that begin no name; letters that misread text doubles up.
+FORMULAS = (
+    r"\b(?:nosso\s+senhor|nossa\s+se|reino\s+d|rainha\s+nossa|legitimidade|soberan[cç]|nussimento|divisaô|successaõ|successora|santo\s+antão|inspecção|"
+    r"juiz\s+paz|brejo\s+d|massa\s+ma)\b"
+)
+FOREIGN = r"\b(?:sheep|skins|french|the|and|with|from|king|queen)\b"
+FAMILIAR = [
+    "antonio", "joze", "jose", "joaquim", "francisco", "manoel", "manuel", "joao", "luiz", "pedro", "maria", "anna", "rosa", "thomaz", "carlos", "silva", "ferreira",
+    "pereira", "souza", "costa", "mello", "santos", "oliveira", "lima", "rodrigues", "pinto", "barros", "ramos", "gomes", "lopes", "alves", "moreira", "rocha", "bastos",
+    "cavalcante", "monteiro",
+]
+OFFICES, OFFICE_STARTS = ["juiz", "chefe", "mestre", "coronel ", "tenente ", "capitão "], ["juiz", "chefe", "mestre", "mr", "dr"]
+NAME_PREPOSITIONS = ["de", "da", "do", "das", "dos", "e", "d'"]
+ODD_PAIRS = r"(?i)[ôõêã][^aeiouáàâãéêíóôõúsrnlm\s]"
+NAME_VOWEL = "(?i)[aeiouáàâãéêíóôõú]"
+
+
+def _substantive(name: Column) -> Column:
+    return F.filter(F.split(F.trim(name), r"\s+"), lambda t: ~F.lower(t).isin(*NAME_PREPOSITIONS, ""))
+
+
 def legible_name(name: Column) -> Column:
-    """Whether a name looks like one: long enough, vowels in its tokens, no letter three times in a row, no cut end."""
-    tokens = F.filter(F.split(F.trim(name), r"\s+"), lambda t: ~F.lower(t).isin("de", "da", "do", "das", "dos", "e", "d'", ""))
-    vowel = "(?i)[aeiouáàâãéêíóôõú]"
+    """Whether a name looks like one: long enough, no formula or foreign word, vowels in its tokens, no letter three times in a row, no cut end."""
+    tokens = _substantive(name)
     two = F.filter(tokens, lambda t: F.length(t) == 2)
     ok = (
         (F.length(name) >= 5)
+        & ~name.rlike("(?iu)" + FORMULAS)
+        & ~name.rlike("(?i)" + FOREIGN)
         & (F.size(tokens) > 0)
-        & ~F.exists(tokens, lambda t: (F.length(t) <= 1) | ~t.rlike(vowel))
+        & ~F.exists(tokens, lambda t: (F.length(t) <= 1) | ~t.rlike(NAME_VOWEL))
         & ~((F.size(tokens) >= 3) & (F.size(two) >= 2))
         & ~strip_accents(name).rlike(r"(.)\1{2,}")
         & (F.length(F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit(""))) > 3)
@@ -153,6 +186,34 @@ def legible_name(name: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def legible_label(name: Column) -> Column:
+    """The stricter test for labels of a graph: two words, no loose hyphen, no office, no odd pair of letters, a familiar name among short ones."""
+    tokens, low = _substantive(name), F.lower(name)
+    office = F.exists(F.array(*map(F.lit, OFFICES)), lambda o: F.contains(low, o)) & F.split_part(low, F.lit(" "), F.lit(1)).isin(*OFFICE_STARTS)
+    familiar = F.exists(tokens, lambda t: F.regexp_replace(F.lower(t), "s+$", "").isin(*FAMILIAR))
+    bad = F.exists(tokens, lambda t: (F.length(t) <= 1) | ((F.length(t) >= 3) & ~t.rlike(NAME_VOWEL)) | t.rlike(ODD_PAIRS))
+    ok = (
+        (F.length(name) >= 5)
+        & (F.size(F.split(F.trim(name), r"\s+")) >= 2)
+        & ~F.contains(name, F.lit("- "))
+        & ~F.contains(name, F.lit(" -"))
+        & ~strip_accents(name).rlike(r"(.)\1{2,}")
+        & ~office
+        & (F.size(tokens) > 0)
+        & ~bad
+        & (F.length(F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit(""))) > 4)
+        & (familiar | (F.size(tokens) >= 3))
+    )
+    return F.coalesce(ok, F.lit(False))
+
+
+def legible_for_merge(name: Column) -> Column:
+    """The test before a merge without a reviewer: two words of two letters, a vowel, no letter three times in a row."""
+    real = F.filter(F.split(F.trim(name), r"\s+"), lambda t: F.length(t) >= 2)
+    ok = (F.length(name) >= 5) & (F.size(real) >= 2) & F.exists(real, lambda t: t.rlike(NAME_VOWEL)) & ~F.lower(name).rlike(r"(.)\1{2,}")
+    return F.coalesce(ok, F.lit(False))
+
+
 def looks_truncated(name: Column) -> Column:
     """Whether the last token is a cut-off piece: three letters or fewer after others, or none but consonants."""
     tokens = F.split(F.trim(name), r"\s+")

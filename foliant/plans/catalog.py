@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import extracting, more, relational, resolving, retrieving, textual
+from foliant.plans import extracting, judging, keeping, more, relational, resolving, retrieving, textual
 from foliant.registry import Registry
 
 
@@ -12,6 +12,6 @@ def core() -> Registry:
     relational.register(reg)
     textual.register(reg)
     more.register(reg)
-    for plans in (extracting, retrieving, resolving):
+    for plans in (extracting, retrieving, resolving, judging, keeping):
         reg.include(plans.reg)
     return reg

@@ -46,21 +46,9 @@ q("fn_url_quote", "select id, replace(url_encode(strip_accents(canonical_name)),
 q("fn_levenshtein", "select id, levenshtein(base_normalized_name, 'camara municipal')::bigint d from entities")(lambda e: e.table("entities").select("id", F.levenshtein("base_normalized_name", F.lit("camara municipal")).cast("long").alias("d")))
 
 
-q("src_llm_json", "select id, unnest(coalesce(from_json(attrs->'identity_hints', '[\"VARCHAR\"]'), [])) hint from ent")(lambda e: e.entities.select("id", F.explode("hints").alias("hint")))
-q("src_img_folder_meta", "select id, split_part(image_path, '/', 3) folder, regexp_extract(image_path, '([0-9]+)[.]jpg$', 1) page from pages where image_path is not null")(
-    lambda e: e.table("pages").where("image_path is not null").select("id", F.split_part("image_path", F.lit("/"), F.lit(3)).alias("folder"), F.regexp_extract("image_path", r"([0-9]+)\.jpg$", 1).alias("page")))
 q("src_fallback", "select path, body_from from (select text_path path, 'text' body_from from page_texts union select p.text_path, 'none' from pages p where p.text_path is not null and not exists (select 1 from page_texts t where t.text_path = p.text_path))")(
     lambda e: (lambda t: t.select(F.col("text_path").alias("path"), F.lit("text").alias("body_from")).union(e.table("pages").select("text_path").where("text_path is not null").distinct().join(t, "text_path", "left_anti").select("text_path", F.lit("none"))))(e.table("page_texts").select("text_path").distinct()))
-q("snk_llm_import", "select min(id) id from entities where type in ('person', 'place', 'institution') and length(canonical_name) >= 3 group by type, base_normalized_name")(
-    lambda e: e.table("entities").where("type in ('person', 'place', 'institution') and length(canonical_name) >= 3").groupBy("type", "base_normalized_name").agg(F.min("id").alias("id")).select("id"))
-q("snk_chunks_reset", "select bib, count(*) removed from documents where bib = (select min(bib) from documents) group by 1")(
-    lambda e: e.table("documents").join(F.broadcast(e.table("documents").agg(F.min("bib").alias("bib"))), "bib", "left_semi").groupBy("bib").agg(long_count("removed")))
-q("snk_reindex", "select label, count(*) vectors from embeddings group by 1")(lambda e: e.table("embeddings").groupBy("label").agg(long_count("vectors")))
-q("snk_graphml", "select distinct '<edge source=\"' || subject_entity_id || '\" target=\"' || object_entity_id || '\"/>' line from relations where object_entity_id is not null")(
-    lambda e: e.relations.where("object_entity_id is not null").select(F.format_string('<edge source="%d" target="%d"/>', "subject_entity_id", "object_entity_id").alias("line")).distinct())
-q("snk_ocr_persist", "select text_path, arg_max(coalesce(body, ''), (ingested_at, length(coalesce(body, '')), coalesce(body, ''))) body from page_texts group by 1")(
-    lambda e: e.table("page_texts").withColumn("body", F.coalesce("body", F.lit(""))).groupBy("text_path").agg(F.max_by("body", F.struct("ingested_at", F.length("body"), "body")).alias("body")))
-for _n in ("jn_progress_union", "snk_progress"):
+for _n in ("snk_progress",):
     q(_n, "select bib, count(*) filter (where d) done, count(*) filter (where not d) failed from (select p.bib, t.text_path is not null d from pages p left join (select distinct text_path from page_texts) t on t.text_path = p.text_path) group by 1")(
         lambda e: e.table("pages").select("bib", "text_path").join(e.table("page_texts").select("text_path").distinct().withColumn("d", F.lit(1)), "text_path", "left").groupBy("bib").agg(F.count_if(F.col("d").isNotNull()).alias("done"), F.count_if(F.col("d").isNull()).alias("failed")))
 q("agg_worker_totals", "select source_collection, count(*) processed, count(*) filter (where person_name is null or trim(person_name) in ('', '?')) skipped from parish_records group by 1")(
@@ -80,10 +68,6 @@ def corrected(e: Evidence) -> DataFrame:
     return g.select("path", F.col("corrected").cast("long").alias("corrected"), F.col("scanned").cast("long").alias("scanned"))
 
 
-for _n in ("llm_correct", "bench_correct"):
-    q(_n, "select regexp_replace(text_path, '_corrigido[.]txt$', '.txt') path, max(length(body)) filter (where text_path like '%\\_corrigido.txt' escape '\\') corrected, max(length(body)) filter (where text_path not like '%\\_corrigido.txt' escape '\\') scanned from page_texts group by 1")(corrected)
-q("bench_ocr")(lambda e: X.candidates(e).groupBy((F.col("path") != F.col("text_path")).alias("corrected")).agg(long_count("candidates"), F.round(F.avg("score"), 4).alias("score"), F.round(F.avg("valid_word_ratio"), 4).alias("valid_word_ratio")))
-q("ocr_variants")(lambda e: X.candidates(e).withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), F.desc("valid_word_ratio"), F.desc("chars"), "text_path"))).select("path", "text_path", "score", "place"))
 
 
 def register(to: Registry) -> None:

@@ -738,7 +738,7 @@ def alias_set(c: str = "aliases_json") -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(read, lambda x: F.lower(F.trim(x))), lambda x: ~x.isin("", "?"))))
 
 
-for _name in ("set_sorted_set", "set_ordered_dedup"):
+for _name in ("set_sorted_set",):
     q(_name, f"select id, array_to_string({ALIAS}, '|') aliases from entities")(lambda e: e.table("entities").select("id", F.array_join(alias_set(), "|").alias("aliases")))
 
 

@@ -157,7 +157,7 @@ def er_exact_dup(e: Evidence) -> DataFrame:
 def er_auto(e: Evidence) -> DataFrame:
     """(source, target, score): merges without a reviewer. Each legible person goes into its best legible candidate that outranks it by mentions and id,
     with a score of 5.5 at least and 200 mentions at most of its own. Targets always outrank their sources, so there are no circles."""
-    own = resolvable(e).where("type = 'person'").where(Q.legible_name(F.col("name"))).where("mentions >= 2").select(F.col("id").alias("entity"), F.col("mentions").alias("have"))
+    own = resolvable(e).where("type = 'person'").where(Q.legible_for_merge(F.col("name"))).where("mentions >= 2").select(F.col("id").alias("entity"), F.col("mentions").alias("have"))
     good = merge_scores(e).where("score >= 5.5").join(own, "entity").join(own.select(F.col("entity").alias("candidate")), "candidate", "left_semi")
     better = good.where("have <= 200 and (mentions > have or mentions = have and candidate < entity)")
     return first_by(better, ["entity"], *order()).select(F.col("entity").alias("source"), F.col("candidate").alias("target"), "score")
@@ -332,7 +332,7 @@ sc as (select one.id record_id, one.f, one.k name_key, pe.id entity_id, pe.menti
 st as (select *, list_intersect(ta, tb) common, len(list_intersect(ta, tb)) / greatest(len(ta), len(tb), 1) overlap from sc),
 b as (select *, case when same then 0.95::double when overlap >= 0.8 then 0.85::double when overlap >= 0.5 then 0.65::double when len(common) >= 2 then 0.5::double when len(common) = 1 and length(common[1]) >= 5 then 0.35::double end base from st),
 t as (select *, case when gap is null then base when f = 2 then case when gap between 15 and 70 then base + 0.1::double when gap < 0 or gap > 80 then base * 0.3::double else base end else case when gap between 0 and 80 then base + 0.05::double when gap < -20 or gap > 100 then base * 0.3::double else base end end timed from b where base is not null),
-cf as (select record_id, f, name_key, entity_id, mentions, least(round(timed + case when f < 2 and len(common) >= 2 then 0.05::double else 0 end, 2), 0.99) confidence from t)"""
+cf as (select record_id, f, name_key, entity_id, mentions, least(round(timed + case when f < 2 and len(common) >= 2 then 0.05::double else 0 end + 1e-9, 2), 0.99) confidence from t)"""
 
 
 def blocks(e: Evidence) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +366,7 @@ def cross_reference(e: Evidence) -> DataFrame:
     own = F.when(gap.between(15, 70), b + 0.1).when((gap < 0) | (gap > 80), b * 0.3).otherwise(b)
     parent = F.when(gap.between(0, 80), b + 0.05).when((gap < -20) | (gap > 100), b * 0.3).otherwise(b)
     timed = F.when(gap.isNull(), b).when(child, own).otherwise(parent)
-    met = met.withColumn("base", base).where("base is not null").withColumn("c", F.least(F.round(timed + F.when(~child & (n >= 2), 0.05).otherwise(0.0), 2), F.lit(0.99)))
+    met = met.withColumn("base", base).where("base is not null").withColumn("c", F.least(F.round(timed + F.when(~child & (n >= 2), 0.05).otherwise(0.0) + 1e-9, 2), F.lit(0.99)))
     return met.select(F.col("id").alias("record_id"), "f", F.col("k").alias("name_key"), "entity_id", "mentions", F.col("c").alias("confidence"))
 
 

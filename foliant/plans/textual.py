@@ -57,10 +57,6 @@ scalar("fn_truncate", lambda: F.left(TEXT(), F.lit(200)), "left(text, 200)")
 scalar("fn_format_count", lambda: T.format_count(F.length(TEXT()) * 1000), "translate(format('{:,}', length(text) * 1000), ',', '.')")
 scalar("fn_snippet_radius", lambda: T.snippet(TEXT(), F.lit("municipal")), f"case when instr(lower({COMPACT}), 'municipal') > 0 then case when instr(lower({COMPACT}), 'municipal') - 110 > 1 then '...' else '' end || substring({COMPACT}, greatest(instr(lower({COMPACT}), 'municipal') - 110, 1)::int, (least(instr(lower({COMPACT}), 'municipal') + 9 + 110, length({COMPACT}) + 1) - greatest(instr(lower({COMPACT}), 'municipal') - 110, 1))::int) || case when least(instr(lower({COMPACT}), 'municipal') + 9 + 110, length({COMPACT}) + 1) <= length({COMPACT}) then '...' else '' end else substring({COMPACT}, 1, 220) end")
 scalar("q_real_words", lambda: F.round(Q.real_word_ratio(TEXT()), 6), "round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' and length(regexp_replace(w, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 2)) / nullif(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')), 0), 6)")
-scalar("flt_dense_page", lambda: (F.regexp_count(TEXT(), F.lit("(?i)filho|filha|viuva|faleceu|falleceu|nomead[oa]|presidente|morador|escravo|inventario|venda")) >= 3), "len(regexp_extract_all(text, '(?i)filho|filha|viuva|faleceu|falleceu|nomead[oa]|presidente|morador|escravo|inventario|venda')) >= 3")
-scalar("rx_date_signal", lambda: TEXT().rlike(r"(?i)\d{1,2} de [a-zç]+ de \d{4}|anno de \d{4}|hoje \d"), "regexp_matches(text, '(?i)\\d{1,2} de [a-zç]+ de \\d{4}|anno de \\d{4}|hoje \\d')")
-scalar("rx_bio", lambda: F.regexp_count(TEXT(), F.lit("(?i)filho|filha|falleceu|nomeado|morador|escravo")).cast("long"), "len(regexp_extract_all(text, '(?i)filho|filha|falleceu|nomeado|morador|escravo'))")
-scalar("q_heading", lambda: F.round(F.size(F.filter(F.slice(F.filter(F.split(TEXT(), "\n"), lambda x: F.trim(x) != ""), 1, 12), lambda x: (x == F.upper(x)) & x.rlike("[A-Z]") & (F.size(F.split(F.trim(x), " ")) <= 8))) / F.greatest(F.least(F.size(F.filter(F.split(TEXT(), "\n"), lambda x: F.trim(x) != "")), F.lit(12)), F.lit(1)), 6), "round(len(list_filter(list_filter(string_split(text, e'\\n'), lambda x: trim(x) <> '')[1:12], lambda x: x = upper(x) and regexp_matches(x, '[A-Z]') and len(string_split(trim(x), ' ')) <= 8)) / greatest(least(len(list_filter(string_split(text, e'\\n'), lambda x: trim(x) <> '')), 12), 1), 6)")
 q("fn_clean_text")(lambda e: docs(e).select("doc_id", T.clean_text(TEXT()).alias("v")))
 
 
@@ -82,13 +78,6 @@ over_entities("fn_format_period", lambda: Y.period(Y.year_any(F.col("first_seen_
 over_entities("fn_merge_year", lambda: F.least(Y.year_any(F.col("first_seen_year")), Y.year_any(F.col("last_seen_year"))), f"least({YA}, {YB})")
 over_entities("fn_years_compatible", lambda: Y.years_compatible(Y.year_any(F.col("first_seen_year")), Y.year_any(F.col("last_seen_year"))), f"coalesce(abs({YA} - {YB}) <= 60, true)")
 over_entities("fn_decade", lambda: Y.decade(Y.year_any(F.col("first_seen_year"))), f"(({YA} // 10) * 10)::int")
-for _n in ("flt_legible_name", "flt_graph_legible", "flt_merge_legible"):
-    over_entities(_n, lambda: Q.legible_name(NAMES()), None)
-
-
-@q("q_entity_noise")
-def q_entity_noise(e: Evidence) -> DataFrame:
-    return e.entities.select("id", F.round(Q.entity_noise(F.col("type"), NAMES(), F.col("attrs")["identity_status"], F.coalesce("hints", F.array().cast("array<string>"))), 2).alias("score"))
 
 
 @q("q_discovery_noise")
@@ -115,30 +104,7 @@ def q_select_best(e: Evidence) -> DataFrame:
     return candidates(e).where("chars > 0").groupBy("path").agg(F.max(F.struct("score", "valid_word_ratio", "chars", "text_path")).alias("b")).select("path", "b.*")
 
 
-@q("q_compare")
-def q_compare(e: Evidence) -> DataFrame:
-    x = candidates(e)
-    old = x.where("text_path = path").groupBy("path").agg(F.max(F.struct("score", "valid_word_ratio", "odd_char_ratio", "chars")).alias("o"))
-    new = x.where("text_path <> path").groupBy("path").agg(F.max(F.struct("score", "valid_word_ratio", "odd_char_ratio", "chars")).alias("n"))
-    gain, valid, odd = F.expr("n.score - o.score"), F.expr("n.valid_word_ratio - o.valid_word_ratio"), F.expr("o.odd_char_ratio - n.odd_char_ratio")
-    wins = ((gain >= 0.035) & (valid >= 0.01) & (odd >= 0.004)) | ((gain >= 0.02) & (valid >= 0.005) & (odd >= 0.002)) | F.expr("(o.odd_char_ratio >= 0.025 or o.score <= 0.55) and n.score >= 0.8 and n.valid_word_ratio >= o.valid_word_ratio and n.chars >= greatest(80, 0.6 * o.chars)")
-    return old.join(new, "path").select("path", wins.alias("new_wins"))
-
-
-@q("q_historio")
-def q_historio(e: Evidence) -> DataFrame:
-    m = Q.ocr_metrics(TEXT())
-    date = TEXT().rlike(r"(?i)\d{1,2} de [a-zç]+ de \d{4}|anno de \d{4}").cast("double")
-    ner = F.least(F.regexp_count(TEXT(), F.lit(r"[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)+")) / 10, F.lit(1.0))
-    good = 0.35 * m["valid_word_ratio"] + 0.20 * (1 - m["odd_char_ratio"]) + 0.10 * (1 - m["short_line_ratio"]) + 0.15 * ner + 0.10 * date
-    bad = 0.35 * (1 - m["valid_word_ratio"]) + 0.30 * m["odd_char_ratio"] + 0.20 * m["short_line_ratio"] + 0.08 * (1 - date) + F.when(ner < 0.15, 0.07).otherwise(0.0)
-    advice = F.when(bad >= 0.7, "reprocessar").when(bad >= 0.4, "revisar").otherwise("manter")
-    return docs(e).select("doc_id", T.clean_text(TEXT()).alias("text")).select("doc_id", F.round(good, 4).alias("score"), F.round(bad, 4).alias("bad"), advice.alias("advice"))
-
-
-q("q_bad_page")(lambda e: q_historio(e).select("doc_id", "bad", "advice"))
 q("flt_legible_chunk")(lambda e: docs(e).select("doc_id", F.when(F.length("text") < 10, False).when(F.size(F.split(TEXT(), r"\s+")) < 30, True).otherwise(Q.real_word_ratio(TEXT(), 3) >= 0.35).alias("legible")))
-q("flt_unreadable_text")(lambda e: docs(e).where(F.coalesce(Q.real_word_ratio(TEXT()), F.lit(0.0)) < 0.4).select("doc_id"))
 
 # sources
 
@@ -154,12 +120,6 @@ q("src_pending", "select distinct text_path from page_texts p where text_path no
 q("src_ocr_tasks", "select id, image_path from pages p where image_path is not null and not exists (select 1 from page_texts t where t.text_path = p.text_path)")(
     lambda e: e.table("pages").where("image_path is not null").select("id", "image_path", "text_path").join(e.table("page_texts").select("text_path"), "text_path", "left_anti").select("id", "image_path")
 )
-q("src_collection_id", "select distinct source_collection, split_part(source_collection, '-', 1) island_code, split_part(source_collection, '-', 2) city, split_part(source_collection, '-', 3) parish_code, case split_part(source_collection, '-', 4) when 'B' then 'baptism' when 'C' then 'marriage' when 'O' then 'death' else split_part(source_collection, '-', 4) end record_type, try_cast(split_part(source_collection, '-', 5) as int) year_start, try_cast(split_part(source_collection, '-', 6) as int) year_end from parish_records")(
-    lambda e: e.table("parish_records").select("source_collection").distinct().select(
-        "source_collection", *[F.split_part("source_collection", F.lit("-"), F.lit(i)).alias(n) for i, n in ((1, "island_code"), (2, "city"), (3, "parish_code"))],
-        F.expr("case split_part(source_collection, '-', 4) when 'B' then 'baptism' when 'C' then 'marriage' when 'O' then 'death' else split_part(source_collection, '-', 4) end").alias("record_type"),
-        *[F.expr(f"try_cast(split_part(source_collection, '-', {i}) as int)").alias(n) for i, n in ((5, "year_start"), (6, "year_end"))])
-)
 q("src_page_lookup", "select id, text_path from pages where bib = (select min(bib) from pages) and pagina like '0000%1'")(
     lambda e: e.pages.where("pagina like '0000%1'").join(F.broadcast(e.pages.agg(F.min("bib").alias("bib"))), "bib", "left_semi").select("id", "text_path")
 )
@@ -168,14 +128,8 @@ q("src_page_fallback", "select p.id, coalesce(c.text_path, r.text_path) text_pat
                .join(f.select("text_path", F.lit(1).alias("has_r")), "text_path", "left").select("id", F.coalesce(F.when(F.col("has_c") == 1, F.col("corr")), F.when(F.col("has_r") == 1, F.col("text_path"))).alias("text_path")))(e.table("page_texts").select("text_path").distinct())
 )
 q("src_catalog_crawl", "select bib, arg_min(jornal, id) jornal from pages where jornal is not null group by 1")(lambda e: e.pages.where("jornal is not null").groupBy("bib").agg(F.min_by("jornal", "id").alias("jornal")))
-for _n in ("src_catalog_list", "src_catalog"):
+for _n in ("src_catalog_list",):
     q(_n, "select bib, max(jornal) nome, count(*) paginas from pages group by 1")(R.cq_catalog)
-for _n in ("src_chunks_docs", "src_chunks_jsonl"):
-    q(_n, "select chunk_id, min(page_id) page_id, max(md5(source_text)) text_md5 from entity_mentions where chunk_id is not null group by 1")(
-        lambda e: e.mentions.where("chunk_id is not null").groupBy("chunk_id").agg(F.min("page_id").alias("page_id"), F.max(F.md5("source_text")).alias("text_md5")))
-q("src_page_meta", "select m.id, p.bib, p.pagina from entity_mentions m left join pages p on p.id = m.page_id")(lambda e: e.mentions.select("id", "page_id").join(e.pages.select(F.col("id").alias("page_id"), "bib", "pagina"), "page_id", "left").select("id", "bib", "pagina"))
-q("src_parish_json", "select id, unnest(from_json(godparents_json, '[\"VARCHAR\"]')) godparent from parish_records where json_valid(godparents_json)")(
-    lambda e: e.table("parish_records").select("id", F.explode(F.from_json("godparents_json", "array<string>", {"allowSingleQuotes": "false"})).alias("godparent")))
 
 # chunking
 
@@ -228,21 +182,9 @@ for _n in ("ir_vector",):
 q("ir_index_stats", "select count(*) vectors, count(distinct label) labels from embeddings")(lambda e: e.table("embeddings").agg(long_count("vectors"), F.count_distinct("label").alias("labels")))
 # sinks as set transforms
 
-q("snk_upsert_page", "select bib, lpad(ltrim(pagina, '0'), 8, '0') pagina, arg_max(jornal, id) jornal, arg_max(text_path, id) filter (where text_path is not null) text_path from pages group by 1, 2")(
-    lambda e: e.pages.groupBy("bib", F.lpad(F.ltrim(F.col("pagina"), F.lit("0")), 8, "0").alias("pagina")).agg(F.max_by("jornal", "id").alias("jornal"), F.max_by("text_path", F.when(F.col("text_path").isNotNull(), F.col("id"))).alias("text_path")))
-q("snk_upsert_entity", "select type, base_normalized_name, arg_max(canonical_name, id) canonical_name, arg_min(first_seen_year, id) filter (where first_seen_year is not null) first_seen_year, arg_max(last_seen_year, id) filter (where last_seen_year is not null) last_seen_year from entities group by 1, 2")(
-    lambda e: e.table("entities").groupBy("type", "base_normalized_name").agg(F.max_by("canonical_name", "id").alias("canonical_name"), F.min_by("first_seen_year", F.when(F.col("first_seen_year").isNotNull(), F.col("id"))).alias("first_seen_year"), F.max_by("last_seen_year", F.when(F.col("last_seen_year").isNotNull(), F.col("id"))).alias("last_seen_year")))
 MKEY = ["entity_id", "page_id", "chunk_id", "surface_form"]
-for _n in ("snk_add_mention", "snk_dedup_mentions"):
-    q(_n, "select min(id) id from entity_mentions group by entity_id, page_id, chunk_id, surface_form")(lambda e: e.mentions.groupBy(*MKEY).agg(F.min("id").alias("id")).select("id"))
-for _n in ("snk_add_evidence", "snk_dedup_evidence"):
-    q(_n, "select distinct relation_id, page_id, chunk_id, quote from evd")(lambda e: e.evidence.select("relation_id", "page_id", "chunk_id", "quote").distinct())
 q("snk_upsert_relation", "select subject_entity_id, predicate, coalesce(object_entity_id, 0) object_id, coalesce(object_literal, '') literal, max(confidence) confidence, arg_max(status, id) status, min(id) id from relations group by 1, 2, 3, 4")(
     lambda e: e.relations.groupBy("subject_entity_id", "predicate", F.coalesce("object_entity_id", F.lit(0)).alias("object_id"), F.coalesce("object_literal", F.lit("")).alias("literal")).agg(F.max("confidence").alias("confidence"), F.max_by("status", "id").alias("status"), F.min("id").alias("id")))
-for _n, _log, _key, _sqlv in (("snk_review_ent", "identity_reviews", "entity_id", "select r.entity_id, arg_max(r.review_status, r.id) status from rev r where r.entity_id in (select id from entities) group by 1"), ("snk_review_rel", "relation_reviews", "relation_id", "select r.relation_id, arg_max(r.review_status, r.id) status from rrev r where r.relation_id in (select id from relations) group by 1")):
-    q(_n, _sqlv)(lambda e, log=_log, key=_key: getattr(e, log).join((e.table("entities") if key == "entity_id" else e.relations).select(F.col("id").alias(key)), key, "left_semi").groupBy(key).agg(F.max_by("review_status", "id").alias("status")))
-q("snk_review_merge", "select least(source_entity_id, target_entity_id) a, greatest(source_entity_id, target_entity_id) b, arg_max(review_status, id) status from entity_merge_reviews group by 1, 2")(
-    lambda e: e.table("entity_merge_reviews").groupBy(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b")).agg(F.max_by("review_status", "id").alias("status")))
 MERGE = "with lm as (select least(source_entity_id, target_entity_id) a, greatest(source_entity_id, target_entity_id) b, arg_max(review_status, id) s from entity_merge_reviews group by 1, 2), ed as (select a u, b v from lm where s = 'approved' and a <> b union select b, a from lm where s = 'approved' and a <> b), h1 as (select u, least(u, min(v)) c from ed group by 1), h2 as (select e.u, least(min(h.c), any_value(g.c)) c from ed e join h1 h on h.u = e.v join h1 g on g.u = e.u group by 1), h3 as (select e.u, least(min(h.c), any_value(g.c)) c from ed e join h2 h on h.u = e.v join h2 g on g.u = e.u group by 1), h4 as (select e.u, least(min(h.c), any_value(g.c)) c from ed e join h3 h on h.u = e.v join h3 g on g.u = e.u group by 1), h5 as (select e.u, least(min(h.c), any_value(g.c)) c from ed e join h4 h on h.u = e.v join h4 g on g.u = e.u group by 1), h6 as (select e.u, least(min(h.c), any_value(g.c)) c from ed e join h5 h on h.u = e.v join h5 g on g.u = e.u group by 1), re as (select m.id, coalesce(h.c, m.entity_id) target, m.page_id, m.chunk_id, m.surface_form from entity_mentions m left join h6 h on h.u = m.entity_id)"
 
 
@@ -252,12 +194,6 @@ def merge_map(e: Evidence) -> DataFrame:
     return connected_components(last.where("s = 'approved'"), "a", "b")
 
 
-q("snk_meta_merge", "select p.id, coalesce(nullif(nullif(p.jornal, '?'), ''), d.nome) jornal from pages p left join (select bib, max(source) nome from documents group by 1) d using (bib)")(
-    lambda e: e.pages.join(e.table("documents").groupBy("bib").agg(F.max("source").alias("nome")), "bib", "left").select("id", F.coalesce(F.nullif(F.nullif("jornal", F.lit("?")), F.lit("")), "nome").alias("jornal")))
-q("snk_index_add", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")(lambda e: e.table("documents").select("doc_id").join(e.table("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti"))
-q("snk_index_clear", "select label, count(*) kept from embeddings where label <> 0 group by 1")(lambda e: e.table("embeddings").where("label <> 0").groupBy("label").agg(long_count("kept")))
-q("snk_index_all", "select bib, count(*) chunks from documents group by 1")(lambda e: e.table("documents").groupBy("bib").agg(long_count("chunks")))
-q("snk_parish_upsert", "select source_collection, source_page, person_name, min(id) id from parish_records group by 1, 2, 3")(lambda e: e.table("parish_records").groupBy("source_collection", "source_page", "person_name").agg(F.min("id").alias("id")))
 
 # graphs
 
@@ -269,7 +205,7 @@ def graph_nodes(e: Evidence) -> DataFrame:
     return e.active.select(F.lit("person_or_place").alias("type"), F.col("id").cast("string").alias("id")).union(e.pages.select(F.lit("page"), F.col("id").cast("string"))).union(e.pages.select(F.lit("publication"), "bib").distinct()).union(lit)
 
 
-for _n in ("gr_build_nodes", "agg_graph_stats", "snk_graph_json", "cq_graph_stats"):
+for _n in ("gr_build_nodes",):
     q(_n, NODES)(lambda e: graph_nodes(e).groupBy("type").agg(long_count("nodes")))
 q("gr_build_edges", "select distinct entity_id src, page_id dst, 'mentioned_in' predicate from entity_mentions union all select distinct subject_entity_id, object_entity_id, predicate from relations where object_entity_id is not null")(
     lambda e: e.mentions.select(F.col("entity_id").alias("src"), F.col("page_id").alias("dst"), F.lit("mentioned_in").alias("predicate")).distinct().union(e.relations.where("object_entity_id is not null").select("subject_entity_id", "object_entity_id", "predicate").distinct()))
@@ -323,10 +259,15 @@ for _n in ("gr_family_tree", "cq_family"):
 
 # streams
 
-reg.add("st_tumbling", S.tumbling_counts, "select time_bucket(interval '1 hour', ts) start, event_type, count(*) events from events group by 1, 2")
-reg.add("st_sliding", S.sliding_counts, "select time_bucket(interval '1 hour', ts) - to_hours(k) start, count(*) events from events, range(0, 2) r(k) group by 1")
+#: Windows that the watermark, a day behind the last event, has passed.
+CLOSED = "(select max(ts) - interval 1 day from events)"
+reg.add("st_tumbling", S.tumbling_counts, f"select time_bucket(interval '1 hour', ts) start, event_type, count(*) events from events group by 1, 2 having start + interval 1 hour <= {CLOSED}")
+reg.add("st_sliding", S.sliding_counts, f"select time_bucket(interval '1 hour', ts) - to_hours(k) start, count(*) events from events, range(0, 2) r(k) group by 1 having start + interval 2 hours <= {CLOSED}")
 reg.add("st_first_seen", S.first_seen, "select distinct event_id from events")
-reg.add("st_sessions", S.user_sessions)
+reg.add(
+    "st_sessions", S.user_sessions,
+    f"select user_id, min(ts) start, count(*) events from (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) n from (select user_id, ts, case when lag(ts) over (partition by user_id order by ts) > ts - interval 30 minutes then 0 else 1 end fresh from events)) group by user_id, n having max(ts) + interval 30 minutes <= {CLOSED}",
+)
 
 
 def register(to: Registry) -> None:

@@ -16,38 +16,44 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run `stream` until nothing new is there and give what it has written; the state is in the checkpoint folder."""
+def drain(stream: DataFrame) -> DataFrame:
+    """Run `stream` in append mode until nothing new is there and give what it has written; the state is in the checkpoint folder.
+
+    Every batch writes a folder of its own, named by its number, so a batch that is run again after a failure replaces what it had written.
+    """
     spark = stream.sparkSession
     _checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode(how).parquet(f"{at}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("basePath", f"{at}/out").parquet(f"{at}/out").select(*stream.columns)
+
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+#: A window goes out when the watermark has passed its end; this is how late an event may come.
+LATE = "1 day"
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
-    """(start, event_type, events) for each window of `width`."""
-    e = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"))
-    return drain(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events"), "complete")
+    """(start, event_type, events) for each window of `width` that is closed; the state of closed windows is dropped."""
+    e = event_stream(spark, sf_dir).withWatermark("ts", LATE).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"))
+    return drain(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events"))
 
 
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(start, events) for windows of two hours, one every hour."""
-    e = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("events"))
-    return drain(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "events"), "complete")
+    """(start, events) for windows of two hours, one every hour, that are closed."""
+    e = event_stream(spark, sf_dir).withWatermark("ts", LATE).groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("events"))
+    return drain(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "events"))
 
 
 def user_sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes") -> DataFrame:
-    """(user_id, start, events): runs of a user's events less than `gap` apart, in batch, as complete sessions have no update mode."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
-    return e.select("user_id", F.col("session_window.start").alias("start"), "events")
+    """(user_id, start, events): the closed runs of a user's events less than `gap` apart, from the stream."""
+    e = event_stream(spark, sf_dir).withWatermark("ts", LATE).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
+    return drain(e.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "events"))
 
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id): each id once, however often it is delivered."""
-    return drain(event_stream(spark, sf_dir).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")
+    """(event_id): each id once, however often it is delivered within a day of the first time; an older one is dropped as late."""
+    return drain(event_stream(spark, sf_dir).withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
