@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import names
-from foliant.llm.variants import entity_facts, entity_forms, head_links, nicknames, same_entities
+from foliant.llm.variants import entity_facts, entity_forms, first_names_fit, head_links, nicknames, same_entities
 from foliant.tables import arrow_map, cut
 
 #: BM25: saturation and length normalisation.
@@ -26,7 +26,7 @@ TOP = 20
 RELATIVE, SPAN = 0.5, 40
 #: Confidence from which a document that is not its record's nearest is kept.
 SURE = 0.5
-#: Pairs whose two fathers are known on which the calibration is fitted, at most.
+#: Records with a known father, and a document whose father is known, on which the calibration is fitted, at most.
 CALIBRATION_ROWS = 20_000
 
 _UNKNOWN = re.compile(r"(?i)^\W*$|inc[oó]gnit|desconhec|expost|n[aã]o consta|ignora|sem nome")
@@ -191,7 +191,7 @@ def candidates(records: DataFrame, forms: DataFrame, links: DataFrame) -> DataFr
     spans = F.concat(F.array(F.lit(-1)), F.sequence(F.floor((F.col("r.b0") + AGE_FROM) / SPAN).cast("int"), F.floor((F.col("r.b1") + AGE_TO) / SPAN).cast("int")))
     timed = r.where("r.b0 is not null").withColumn("span", F.explode(spans)).join(d, ["other", "span"])
     open_ = r.where("r.b0 is null").join(d, "other")
-    alike = (F.left(first("r"), F.lit(1)) == F.left(first("d"), F.lit(1))) | (F.levenshtein(first("r"), first("d")) <= 2)
+    alike = first_names_fit(first("r"), first("d"))
     cols = ["query", "doc", "r", "d", "head", "other"]
     return timed.select(*cols).unionByName(open_.select(*cols)).where(alike & F.expr(f"coalesce(r.suffix, '') = coalesce(d.suffix, '') and {TIME_FITS}"))
 
@@ -264,12 +264,14 @@ def accidental(fathers: list[tuple[list[str], list[str]]]) -> float:
 
 
 def calibrated(checked: DataFrame, fathers: DataFrame, rows: int) -> tuple[list[str], list[float], float]:
-    """(features, weights of the logistic model, chance of an accidental agreement of fathers), fitted on at most `rows` pairs whose two fathers are known.
+    """(features, weights of the logistic model, chance of an accidental agreement of fathers), fitted on at most `rows` records.
+
+    checked: the documents with a known father of these records, two at least where there are two.
 
     A father that agrees is taken as a true pair, another as a false one. Where there is nothing to fit on, weights that ask for a good name stand in.
     """
     features = ["gap", "likeness", "full", "extra", "same_place", "timed"]
-    sample = _ranked(checked).where("n = 1 and kin <> 0").orderBy(F.xxhash64("query")).limit(rows).join(fathers, ["query", "doc"]).toPandas().sort_values("query")
+    sample = _ranked(checked).where("n = 1").limit(rows).join(fathers, ["query", "doc"]).toPandas().sort_values("query")
     chance = accidental([(list(r), list(d)) for r, d in zip(sample.r_father, sample.d_fathers)])
     if sample.kin.nunique() == 2:
         return features, fit_logistic(sample[features].to_numpy(float), (sample.kin == 1).to_numpy(float)).tolist(), chance
@@ -286,8 +288,8 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     Of the rest each record keeps the k documents of the highest BM25 score with ties, found with upper bounds (see top_documents).
     Of them stay the record's nearest document and each that is as sure (a person may stand in several documents), where the record is the document's nearest
     or can be another reading or entry of that one's person. The confidence is a logistic function of the score's gap to the best other
-    document, the names' likeness and the place, calibrated on at most `calibration_rows` pairs whose two
-    fathers are known; where the pair's own fathers agree, the odds are divided by the chance that they do so by accident. Records without a
+    document, the names' likeness and the place, calibrated on at most `calibration_rows` records whose father and
+    whose document's father are known; where the pair's own fathers agree, the odds are divided by the chance that they do so by accident. Records without a
     readable name and entities without one match nothing; missing dates, places and fathers contradict nothing.
     """
     facts = cut(entity_facts(entities).dropDuplicates(["id"]))
@@ -315,7 +317,9 @@ def match_people(parish: DataFrame, entities: DataFrame, mentions: DataFrame, ca
     pairs = passed.groupBy("query", "doc").agg(best, F.max(F.col("head_likeness") * F.col("impact")).alias("head_score"), *[F.max(c).alias(c) for c in ("kin", "same_place", "timed")])
     pairs = cut(pairs.select("query", "doc", "head_score", "b.likeness", "b.full", (-F.col("b.less")).alias("extra"), "kin", "same_place", "timed"))
     known_fathers = records.select(F.col("id").alias("query"), F.col("father").alias("r_father")).join(pairs.where("kin <> 0").select("query", "doc"), "query").join(attributes.select(F.col("id").alias("doc"), F.col("fathers").alias("d_fathers")), "doc")
-    scored = cut(top_documents(pairs.where("kin <> 0"), queries.where("not kin").drop("kin"), index, k))  # what the fathers say isn't in the scores it is fitted on
+    told = pairs.where("kin <> 0")
+    asked = told.select("query").distinct().orderBy(F.xxhash64("query")).limit(calibration_rows)
+    scored = cut(top_documents(told.join(asked, "query"), queries.where("not kin").drop("kin"), index, 2))  # what the fathers say isn't in the scores it is fitted on
     queries = queries.drop("kin")
     features, w, chance = calibrated(scored, known_fathers, calibration_rows)
     z = F.lit(w[0])

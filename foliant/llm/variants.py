@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import names
@@ -197,7 +197,21 @@ def _names_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _both_ways(pairs: DataFrame, key: str) -> DataFrame:
-    return pairs.unionByName(pairs.select("type", F.col("other").alias(key), F.col(key).alias("other")))
+    ends = F.array(F.struct(F.col(key).alias("x"), F.col("other").alias("y")), F.struct(F.col("other").alias("x"), F.col(key).alias("y")))
+    return pairs.select("type", F.explode(ends).alias("e")).select("type", F.col("e.x").alias(key), F.col("e.y").alias("other"))
+
+
+def heads_fit(a: Column, b: Column) -> Column:
+    """Whether two heads can be alike by names.head_likeness, as far as the JVM can tell: no pair that is alike is lost.
+
+    Up to seven letters they are one edit apart, longer ones two; a swap of neighbours, one edit there, counts twice for levenshtein() and leaves the letters as they are.
+    """
+    apart = F.levenshtein(a, b, 4)
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    swapped = letters(a) == letters(b)
+    one = (apart == 0) | (apart == 1) | ((apart == 2) & swapped)
+    two = apart.isin(0, 1, 2) | ((apart == 3) & (F.levenshtein(letters(a), letters(b)) <= 2)) | ((apart == 4) & swapped)
+    return (F.abs(F.length(a) - F.length(b)) <= 2) & F.when(F.least(F.length(a), F.length(b)) < 8, one).otherwise(two)
 
 
 def head_links(heads: DataFrame) -> DataFrame:
@@ -205,7 +219,7 @@ def head_links(heads: DataFrame) -> DataFrame:
     heads = cut(heads.select("type", "head").distinct())
     banded = arrow_map(heads, _head_bands, "type string, head string, bucket bigint")
     a, b = banded, banded.withColumnRenamed("head", "other")
-    met = a.join(b, ["type", "bucket"]).where("head < other and abs(length(head) - length(other)) <= 2 and levenshtein(head, other, 4) >= 0").select("type", "head", "other").distinct()
+    met = a.join(b, ["type", "bucket"]).where((F.col("head") < F.col("other")) & heads_fit(F.col("head"), F.col("other"))).select("type", "head", "other").distinct()
     alike = arrow_map(met, _alike_heads, "type string, head string, other string")
     return _both_ways(alike, "head").unionByName(heads.select("type", "head", F.col("head").alias("other")))
 
@@ -265,6 +279,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s for s in scores if s > 0], pa.float64())], names=["u", "v", "score"])
 
 
+def first_names_fit(a: Column, b: Column) -> Column:
+    """Whether two first names can be one by names.token_likeness, as far as the JVM can tell: no pair that is alike is lost.
+
+    Initials and abbreviations begin alike; of full ones, up to five letters one edit apart, longer ones two, where a swap of neighbours counts twice for levenshtein().
+    """
+    short = F.contains(a, F.lit(".")) | F.contains(b, F.lit(".")) | (F.length(a) < 3) | (F.length(b) < 3)
+    apart = F.levenshtein(a, b)
+    sorted_ = lambda c: F.array_sort(F.split(c, ""))
+    five = (apart <= 1) | ((apart == 2) & (sorted_(a) == sorted_(b)))
+    return F.when(short, F.left(a, F.lit(1)) == F.left(b, F.lit(1))).when(F.least(F.length(a), F.length(b)) < 6, five).otherwise(apart <= 4)
+
+
 def near_pairs(nodes: DataFrame, links: DataFrame, key: str, same: list[str]) -> DataFrame:
     """The pairs (a_.., b_..) of nodes, a_node below b_node, whose `key` a link joins and whose years lie at most YEARS apart; missing years lie near all.
 
@@ -350,7 +376,8 @@ def same_entities(entities: DataFrame, mentions: DataFrame, facts: DataFrame | N
         F.expr(" and ".join(f"{c} <=> _{c}" for c in group)),
     ).select("id", "node")
     linkable = nodes.where("length(head) > 2")
-    met = near_pairs(linkable, cut(head_links(linkable)), "head", ["initial"]).unionByName(near_pairs(linkable, cut(name_links(linkable)), "name", []))
+    near = near_pairs(linkable, cut(head_links(linkable)), "head", ["initial"]).where(first_names_fit(F.col("a_tokens")[0], F.col("b_tokens")[0]))
+    met = near.unionByName(near_pairs(linkable, cut(name_links(linkable)), "name", []))
     edges = cut(arrow_map(met, _links, "u bigint, v bigint, score double"))
     star = stars(edges, nodes.select("node", "full"))
     placed = members.join(star, "node", "left").select(F.col("id").alias("entity_id"), F.coalesce("star", "node").alias("star"))

@@ -323,6 +323,18 @@ def test_years_are_compared_in_every_span(spark):
     assert sorted(got) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
 
 
+def test_first_names_that_are_alike_pass_the_filter(spark):
+    rng = random.Random(6)
+    given = ["joao", "jose", "anna", "maria", "leandro", "hermenegilda", "j.", "h.", "fran.co", "jo", "mar.a"]
+    pairs = [(a, edited(rng, edited(rng, b)) if rng.random() < 0.5 else edited(rng, b)) for a in given for b in given if len(b) > 3 for _ in range(6)] + [(a, b) for a in given for b in given]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", variants.first_names_fit(F.col("a"), F.col("b")).alias("fit")).collect()
+    assert all(r.fit for r in got if names.token_likeness(r.a, r.b) > 0) and not all(r.fit for r in got)
+    heads = ["rego", "paes", "vilmal", "ferborante", "cambodinhal", "guimarães"]
+    pairs = [(a, edited(rng, edited(rng, b)) if rng.random() < 0.6 else edited(rng, b)) for a in heads for b in heads for _ in range(30)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", variants.heads_fit(F.col("a"), F.col("b")).alias("fit")).collect()
+    assert all(r.fit for r in got if names.head_likeness(r.a, r.b) > 0) and not all(r.fit for r in got)
+
+
 def test_stars_of_a_long_chain_lose_no_node(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("score"))
     rank = spark.range(301).select(F.col("id").alias("node"), F.lit(2).alias("full"))
