@@ -53,10 +53,6 @@ for _n in ("snk_progress",):
         lambda e: e.table("pages").select("bib", "text_path").join(e.table("page_texts").select("text_path").distinct().withColumn("d", F.lit(1)), "text_path", "left").groupBy("bib").agg(F.count_if(F.col("d").isNotNull()).alias("done"), F.count_if(F.col("d").isNull()).alias("failed")))
 q("agg_worker_totals", "select source_collection, count(*) processed, count(*) filter (where person_name is null or trim(person_name) in ('', '?')) skipped from parish_records group by 1")(
     lambda e: e.table("parish_records").groupBy("source_collection").agg(long_count("processed"), F.count_if(F.expr("person_name is null or trim(person_name) in ('', '?')")).alias("skipped")))
-q("cq_subgraph", R.CO_SQL + " order by shared desc, a, b limit 30")(lambda e: top(R.co_mentions(e), F.desc("shared"), F.asc("a"), F.asc("b"), n=30))
-q("cq_reviews", "select review_status, count(*) reviews, max(id) last_id from entity_merge_reviews group by 1")(lambda e: e.table("entity_merge_reviews").groupBy("review_status").agg(long_count("reviews"), F.max("id").alias("last_id")))
-q("cq_page", "select p.id, p.bib, p.pagina, count(m.id) mentions from pages p left join entity_mentions m on m.page_id = p.id group by all")(
-    lambda e: e.pages.select("id", "bib", "pagina").join(e.mentions.groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", "bib", "pagina", F.coalesce("n", F.lit(0)).cast("long").alias("mentions")))
 q("cq_edge", "select r.id, r.predicate, v.page_id from relations r join evd v on v.relation_id = r.id where r.predicate = 'spouse_of' qualify row_number() over (partition by r.id order by v.confidence desc nulls last, v.page_id, v.chunk_id) <= 6")(
     lambda e: first_by(e.relations.where("predicate = 'spouse_of'").select("id", "predicate").join(e.evidence.withColumnRenamed("relation_id", "id"), "id"), ["id"], F.desc_nulls_last("confidence"), F.asc("page_id"), F.asc("chunk_id"), n=6).select("id", "predicate", "page_id"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -179,8 +179,9 @@ def jn_or_endpoint(e: Evidence) -> DataFrame:
 
 
 def co_mentions(e: Evidence, least: int = 2) -> DataFrame:
-    """(a, b, shared): entities named on `least` pages together, each pair once, from distinct (page, entity) rows."""
+    """(a, b, shared): entities named on `least` pages together, each pair once, from distinct (page, entity) rows of the entities that are named on so many pages at all."""
     m = e.mentions.select("page_id", "entity_id").distinct()
+    m = m.join(m.groupBy("entity_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("entity_id"), "entity_id", "left_semi")
     a, b = m.withColumnRenamed("entity_id", "a"), m.withColumnRenamed("entity_id", "b")
     return a.join(b, "page_id").where("a < b").groupBy("a", "b").agg(long_count("shared")).where(F.col("shared") >= least)
 
@@ -235,7 +236,7 @@ def page_bodies(e: Evidence) -> DataFrame:
     )
 
 
-for _name in ("jn_prefer_corrected", "src_pages_txt"):
+for _name in ("jn_prefer_corrected",):
     q(_name, f"select path, corrected, md5(body) body_md5 from ({LATEST_BODY})")(lambda e: page_bodies(e).select("path", "corrected", F.md5("body").alias("body_md5")))
 
 
@@ -308,7 +309,7 @@ def stats_cache(e: Evidence, least: int = 2) -> DataFrame:
     return m.join(r, "entity_id", "left").select("entity_id", "mentions", "strong", "first_year", "last_year", F.coalesce("n", F.lit(0)).cast("long").alias("relations"))
 
 
-for _name in ("agg_stats_cache", "snk_rebuild_cache"):
+for _name in ("agg_stats_cache",):
     q(_name, CACHE_SQL)(stats_cache)
 
 
@@ -330,7 +331,7 @@ def surname_cloud(e: Evidence) -> DataFrame:
     return g.crossJoin(F.broadcast(most)).select("surname", "mentions", "people", F.round(F.col("mentions") / F.col("most"), 3).alias("weight"))  # one row
 
 
-for _name in ("agg_surname_cloud", "cq_cloud"):
+for _name in ("agg_surname_cloud",):
     q(_name, CLOUD)(surname_cloud)
 
 
@@ -347,7 +348,7 @@ def surname_groups(e: Evidence) -> DataFrame:
     )
 
 
-for _name in ("agg_surname_groups", "cq_surnames"):
+for _name in ("agg_surname_groups",):
     q(_name, GROUPS)(surname_groups)
 
 
@@ -366,7 +367,7 @@ def search_entities(e: Evidence) -> DataFrame:
     return top(hits.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("mentions"), "first_year", "last_year"), F.desc("mentions"), F.asc("id"), n=10)
 
 
-for _name in ("agg_search_entities", "ir_entity_search"):
+for _name in ("agg_search_entities",):
     q(_name, SEARCH)(search_entities)
 
 
@@ -501,7 +502,7 @@ def corpus_stats(e: Evidence) -> DataFrame:
     return p.crossJoin(t).crossJoin(c).withColumn("pct", F.round(F.col("images") * 100 / F.nullif("pages", F.lit(0)), 1))  # one row each
 
 
-for _name in ("agg_corpus_stats", "cq_stats", "agg_cli_stats"):
+for _name in ("agg_corpus_stats",):
     q(_name, CORPUS)(corpus_stats)
 
 
@@ -657,7 +658,7 @@ def featured(e: Evidence, seed: int = 42) -> DataFrame:
     return ranked.crossJoin(F.broadcast(n)).where(F.col("k") == F.pmod(F.lit(seed), F.col("n"))).select("entity_id", "mentions", "strong")  # one row
 
 
-for _name in ("win_featured_pick", "cq_featured"):
+for _name in ("win_featured_pick",):
     q(_name, FEATURED)(featured)
 
 # tops and sets
@@ -756,49 +757,6 @@ def set_token_intersect(e: Evidence) -> DataFrame:
     return a.join(b, "x").where("a < b").groupBy("a", "b").agg(long_count("shared")).where("shared >= 3")
 
 
-# composites that aren't one of the above
-
-
-@q("cq_period", "select type, entity_id, count(*) mentions from star where yr = 1850 group by 1, 2")
-def cq_period(e: Evidence) -> DataFrame:
-    return e.star.where("yr = 1850").groupBy("type", "entity_id").agg(long_count("mentions"))
-
-
-@q("cq_compare", f"with y as (select p.yr, count(*) filter (where m.entity_id = {LEFT}) a, count(*) filter (where m.entity_id = {RIGHT}) b from entity_mentions m join pg p on p.id = m.page_id where m.entity_id in ({LEFT}, {RIGHT}) and p.yr is not null group by 1) select yr, a, b from y where a > 0 and b > 0 order by least(a, b) desc, a + b desc, yr limit 1")
-def cq_compare(e: Evidence) -> DataFrame:
-    both = agg_compare_timeline(e).where("a > 0 and b > 0")
-    return top(both, F.desc(F.least("a", "b")), F.desc(F.col("a") + F.col("b")), F.asc("yr"), n=1)
-
-
-@q("cq_entity", "select e.id, e.type, e.canonical_name, e.eff, count(m.id) mentions from ent e left join entity_mentions m on m.entity_id = e.id group by all")
-def cq_entity(e: Evidence) -> DataFrame:
-    m = e.mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"))
-    return e.entities.select("id", "type", "canonical_name", "eff").join(m, "id", "left").select("id", "type", "canonical_name", "eff", F.coalesce("n", F.lit(0)).cast("long").alias("mentions"))
-
-
-@q("cq_story", "select entity_id, min(yr) first_year, max(yr) last_year, count(distinct jornal) journals, count(distinct page_id) pages, case when min(yr) = max(yr) then min(yr)::varchar when min(yr) is not null then min(yr) || ' a ' || max(yr) end period from star group by 1")
-def cq_story(e: Evidence) -> DataFrame:
-    g = e.star.groupBy("entity_id").agg(F.min("yr").alias("first_year"), F.max("yr").alias("last_year"), F.count_distinct("jornal").alias("journals"), F.count_distinct("page_id").alias("pages"))
-    return g.withColumn("period", period(F.col("first_year"), F.col("last_year")))
-
-
-@q("cq_overview", f"select * from ({HOT})")
-def cq_overview(e: Evidence) -> DataFrame:
-    return agg_hotspots(e)
-
-
-@q("cq_trails", "select t.trail, count(distinct s.entity_id) entities, count(*) mentions from star s join (values ('governo', 'camara|governo|secretaria'), ('comercio', 'companhia|alfandega|associa'), ('igreja', 'igreja|irmandade')) t(trail, words) on regexp_matches(lower(s.canonical_name), t.words) where s.type = 'institution' group by 1")
-def cq_trails(e: Evidence) -> DataFrame:
-    words = {"governo": "camara|governo|secretaria", "comercio": "companhia|alfandega|associa", "igreja": "igreja|irmandade"}
-    hits = F.filter(F.array(*[F.when(F.lower("canonical_name").rlike(w), k) for k, w in words.items()]), lambda x: x.isNotNull())
-    return e.star.where("type = 'institution'").select("entity_id", F.explode(hits).alias("trail")).groupBy("trail").agg(F.count_distinct("entity_id").alias("entities"), long_count("mentions"))
-
-
-@q("cq_trail", TRAIL.format("type = 'institution' and regexp_matches(lower(canonical_name), 'companhia|alfandega|associa')"))
-def cq_trail(e: Evidence) -> DataFrame:
-    return trail(e, "type = 'institution' and lower(canonical_name) rlike 'companhia|alfandega|associa'")
-
-
 @q("cq_catalog", "select bib, max(jornal) nome, count(*) paginas from pages group by 1")
 def cq_catalog(e: Evidence) -> DataFrame:
     return e.pages.groupBy("bib").agg(F.max("jornal").alias("nome"), long_count("paginas"))
@@ -808,5 +766,3 @@ def register(to: Registry) -> None:
     for name, build in reg.builders.items():
         to.add(name, build, reg.sql.get(name))
 
-
-_ = SparkSession

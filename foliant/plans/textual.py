@@ -252,9 +252,9 @@ def family_edges(e: Evidence) -> DataFrame:
     return f.union(f.select("dst", "src")).distinct()
 
 
-for _n in ("gr_ego", "gr_subgraph"):
+for _n in ("gr_ego",):
     walk(_n, OUT_SQL, f"select {LEFT}::bigint node", 2, out_edges, lambda e: e.table("entities").where(f"id = {LEFT}").select(F.col("id").alias("node")))
-for _n in ("gr_family_tree", "cq_family"):
+for _n in ("gr_family_tree",):
     walk(_n, FAM_SQL, "select min(subject_entity_id) node from relations where predicate = 'child_of' and object_entity_id is not null", 3, family_edges, lambda e: e.relations.where("predicate = 'child_of' and object_entity_id is not null").agg(F.min("subject_entity_id").alias("node")))
 
 # streams
