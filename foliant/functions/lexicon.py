@@ -56,7 +56,9 @@ RELATIONS = [
 #: Predicates whose object stays a text.
 LITERAL_OBJECTS = {"member_of", "resident_of", "appointed_to", "traveled_to"}
 #: What follows a person's name where that person lives somewhere.
-RESIDENCE = rf"(?:[^.;\n]{{0,120}}?)\s*,\s*(?:morador|residente|domiciliado)\s+(?:na|no|em)\s+(?P<place>[{UPPER}][^,;\n]{{2,60}})"
+RESIDENCE = re.compile(rf"(?:[^.;\n]{{0,120}}?)\s*,\s*(?:morador|residente|domiciliado)\s+(?:na|no|em)\s+(?P<place>[{UPPER}][^,;\n]{{2,60}})")
+#: One of these words stands in every residence.
+RESIDENTS = ("morador", "residente", "domiciliado")
 #: Fixed values: (predicate, pattern, confidence) of what follows a name in badly read text, in any case.
 AFTER_NAMES = [
     (p, re.compile(pattern, re.IGNORECASE), confidence)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from foliant.functions import lexicon as L
 from foliant.tables import arrow_map
 
 
+@lru_cache(maxsize=200_000)
 def plain_name(text: str) -> str:
     """normalize_name() of foliant.functions.text for one value."""
     t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().replace("’", "'")
@@ -22,6 +24,7 @@ def plain_name(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9'\s]", " ", t).split())
 
 
+@lru_cache(maxsize=200_000)
 def main_name(surface: str) -> str:
     """A name without outer punctuation and, beyond two words, without particles."""
     words = surface.strip(" ,.;:-").split()
@@ -154,14 +157,26 @@ class Reading:
                 yield Relation(self.known(got["subject"]), predicate, name, literal, confidence, status, m[0].strip(), "pattern_heuristic")
 
     def residences(self) -> Iterator[Relation]:
+        if not any(w in self.text for w in L.RESIDENTS):
+            return
         for e in self.persons:
             if L.INSTITUTION_SUBJECTS & set(e.normalized.split()):
                 continue
             for alias in filter(None, map(str.strip, (e.surface, e.name, *e.aliases))):
-                if alias in self.text and (m := re.search(re.escape(alias) + L.RESIDENCE, self.text)):
-                    yield Relation(e.name, "resident_of", "", m["place"].strip(" ,.;:"), 0.78, "hypothesis", m[0].strip(), "pattern_heuristic")
+                if found := self._resides(alias):
+                    place, quote = found
+                    yield Relation(e.name, "resident_of", "", place, 0.78, "hypothesis", quote, "pattern_heuristic")
                     break
 
+    def _resides(self, alias: str) -> tuple[str, str] | None:
+        """(place, quote) of the first place in the text where `alias` is followed by a residence."""
+        at = self.text.find(alias)
+        while at >= 0:
+            if m := L.RESIDENCE.match(self.text, at + len(alias)):
+                return m["place"].strip(" ,.;:"), self.text[at : m.end()].strip()
+            at = self.text.find(alias, at + 1)
+        return None
+
     def after_names(self) -> Iterator[Relation]:
         """What follows a name in badly read text; the first form of the name that is long enough is looked for, in any case; one statement a place."""
         low = self.text.lower()
@@ -235,25 +250,30 @@ _ENTITY_DDL = "type string, name string, normalized string, surface string, alia
 _RELATION_DDL = "subject string, predicate string, object string, literal string, confidence double, status string, quote string, method string"
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ents, rels = [], []
-        for text, year in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            found = entities(text or "")
-            ents.append([{**vars(e), **dict(zip(("identity_key", "status", "identity_confidence", "hints"), identity(e, found, year)))} for e in found])
-            rels.append([{k: getattr(r, k) for k, _ in _RELATION} for r in Reading(text or "", found).relations()])
-        cols = [b.column(0), pa.array(ents, pa.list_(pa.struct(_ENTITY + _IDENTITY))), pa.array(rels, pa.list_(pa.struct(_RELATION)))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "entities", "relations"])
+def _facts(with_relations: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ents, rels = [], []
+            for text, year in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found = entities(text or "")
+                said = Reading(text or "", found).relations() if with_relations else []
+                ents.append([{**vars(e), **dict(zip(("identity_key", "status", "identity_confidence", "hints"), identity(e, found, year)))} for e in found])
+                rels.append([{k: getattr(r, k) for k, _ in _RELATION} for r in said])
+            cols = [b.column(0), pa.array(ents, pa.list_(pa.struct(_ENTITY + _IDENTITY))), pa.array(rels, pa.list_(pa.struct(_RELATION)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "entities", "relations"])
+
+    return run
 
 
-def facts(texts: DataFrame, ident: str, text: str, year: str | None = None) -> DataFrame:
-    """(id, entities, relations) of every row: what its text names, in order of confidence, each with its identity among the others, and what it says of them.
+def facts(texts: DataFrame, ident: str, text: str, year: str | None = None, with_relations: bool = True) -> DataFrame:
+    """(id, entities, relations) of every row: what its text names, in order of confidence, each with its identity among the others, and what it says of them
+    (nothing if with_relations is false).
 
     `year` (a column of text, null and '?' for none) goes into the identities of short names. Null and empty texts name nothing; a repeated
     row is read again; other columns don't matter.
     """
     rows = texts.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"), (F.col(year).cast("string") if year else F.lit(None).cast("string")).alias("year"))
-    return arrow_map(rows, _facts, f"id {dict(texts.dtypes)[ident]}, entities array<struct<{_colons(_ENTITY_DDL)}>>, relations array<struct<{_colons(_RELATION_DDL)}>>")
+    return arrow_map(rows, _facts(with_relations), f"id {dict(texts.dtypes)[ident]}, entities array<struct<{_colons(_ENTITY_DDL)}>>, relations array<struct<{_colons(_RELATION_DDL)}>>")
 
 
 def _colons(ddl: str) -> str:

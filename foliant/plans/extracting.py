@@ -45,7 +45,7 @@ def bare(pattern: str) -> str:
 matched("rx_person", bare(L.PERSON.pattern), 1)
 matched("rx_institution", bare(L.INSTITUTION.pattern), 0)
 matched("rx_place", bare(L.PLACE.pattern), 1)
-matched("rx_residence", bare(f"{L.NAME}{L.RESIDENCE}"), 1)
+matched("rx_residence", bare(f"{L.NAME}{L.RESIDENCE.pattern}"), 1)
 matched("rx_year", "(1[0-9]{3}|20[0-9]{2})", 1)
 matched("rx_named_signal", f"[{L.UPPER}][{L.LOWER}]+(?: (?:(?:de|da|do|das|dos|e) )?[{L.UPPER}][{L.LOWER}]+)+", 0)
 RELATIONS = [(p, bare(pattern.pattern), 2 if "(?P<object>" in pattern.pattern else 1) for p, pattern, _, _ in L.RELATIONS]
@@ -94,12 +94,12 @@ def rx_ocr_tolerant(e: Evidence) -> DataFrame:
 # entities and relations with all their rules
 
 
-def facts(e: Evidence) -> DataFrame:
-    return X.facts(texts(e), "doc_id", "text", "ano").withColumnRenamed("id", "doc_id")
+def facts(e: Evidence, with_relations: bool = True) -> DataFrame:
+    return X.facts(texts(e), "doc_id", "text", "ano", with_relations).withColumnRenamed("id", "doc_id")
 
 
 def found(e: Evidence) -> DataFrame:
-    rows = facts(e).select("doc_id", F.posexplode("entities").alias("place", "x")).select("doc_id", "place", "x.*")
+    rows = facts(e, False).select("doc_id", F.posexplode("entities").alias("place", "x")).select("doc_id", "place", "x.*")
     return rows.withColumn("aliases", F.array_join("aliases", "|")).withColumn("hints", F.array_join("hints", "|")).withColumn("confidence", F.round("confidence", 6))
 
 
