@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import quality as Q
 from foliant.functions import text as T
-from foliant.operators.retrieval import text_likeness
+from foliant.operators.retrieval import compared, text_likeness
 from foliant.plans.prelude import registrar
 from foliant.plans.relational import long_count
 from foliant.plans.retrieving import over_texts
@@ -157,6 +157,5 @@ q("bench_ocr")(lambda e: measured(e).groupBy("label").agg(long_count("candidates
 @q("bench_correct")
 def bench_correct(e: Evidence) -> DataFrame:
     """(path, changed, real_before, real_after): how much a correction changed and the share of real words before and after."""
-    both = scanned(e).where("text is not null and fixed is not null")
-    alike = over_texts(both, "path", ["text", "fixed"], text_likeness).withColumnRenamed("v", "alike")
-    return both.join(alike, "path").select("path", F.round(1 - F.col("alike"), 4).alias("changed"), F.round(Q.real_word_ratio(F.col("text")), 4).alias("real_before"), F.round(Q.real_word_ratio(F.col("fixed")), 4).alias("real_after"))
+    both = scanned(e).where("text is not null and fixed is not null").withColumn("real_after", F.round(Q.real_word_ratio(F.col("fixed")), 4))
+    return compared(both, "text", "fixed", "alike").select("path", F.round(1 - F.col("alike"), 4).alias("changed"), F.round(Q.real_word_ratio(F.col("text")), 4).alias("real_before"), "real_after")
