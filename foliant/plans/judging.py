@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import quality as Q
 from foliant.functions import text as T
-from foliant.operators.retrieval import compared, text_likeness
+from foliant.operators.retrieval import compared
 from foliant.plans.prelude import registrar
 from foliant.plans.relational import long_count
-from foliant.plans.retrieving import over_texts
 from foliant.plans.textual import base_of
 from foliant.sources.evidence import Evidence
 
@@ -25,6 +24,8 @@ LIVES = (
     "inventario|inventário|testamento|assinado|assignado|requerimento|procuração|desertor|desertou|recruta|destacamento|guarnição"
 )
 DATE_SIGNS = r"(?:^|[^a-z0-9_])(?:\d{1,2}\s+de\s+[a-zà-ÿ]+\s+de\s+\d{4}|anno\s+de\s+\d{4})(?:[^a-z0-9_]|$)|(?:^|[^a-z0-9_])hoje\s+[a-zà-ÿ]+"
+#: DATE_SIGNS for Java: no letter is looked at twice.
+DATED = r"(?=[\dah])(?<![a-z0-9_])(?:\d{1,2}\s+de\s+[a-zà-ÿ]+\s+de\s+\d{4}(?![a-z0-9_])|anno\s+de\s+\d{4}(?![a-z0-9_])|hoje\s+[a-zà-ÿ]+)"
 NAMED = f"(?:D\\.|Dr\\.?|Sr\\.?|Sra\\.|[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ][a-záàâãéêíóôõúç]+)(?:\\s+(?:(?:de|da|do|dos|das|d['’]|e)\\s+)?[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ][a-záàâãéêíóôõúç]+){{1,3}}"
 
 
@@ -63,9 +64,9 @@ HEADING = f"round(len(list_filter({HEADS}[1:12], lambda x: regexp_replace(x, '[^
 
 
 def heading() -> Column:
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
-    bare = lambda x: F.regexp_replace(x, "[^A-Za-zÀ-ÿ]", "")
-    heads = F.filter(F.slice(lines, 1, 12), lambda x: (bare(x) != "") & (F.upper(bare(x)) == bare(x)) & (F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) <= 8))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
+    few = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) <= 8
+    heads = F.filter(F.transform(F.filter(F.slice(lines, 1, 12), few), lambda x: F.regexp_replace(x, "[^A-Za-zÀ-ÿ]+", "")), lambda x: (x != "") & (F.upper(x) == x))
     return F.round(F.size(heads) / F.greatest(F.least(F.size(lines), F.lit(12)), F.lit(1)), 4)
 
 
@@ -76,7 +77,7 @@ def judged(rows: DataFrame, ident: str) -> DataFrame:
     """`rows` (ident, text, alike) with the metrics of the text, its historiographic score, how bad it is and what to do; alike, the likeness to a corrected text, may be null."""
     m = Q.ocr_metrics(T.clean_text(F.col("text")))
     named = F.round(F.least(F.lit(1.0), F.regexp_count("text", F.lit(NAMED)) / F.greatest(F.lit(2.0), F.greatest(words(), F.lit(1)) / 18)), 4)
-    c = rows.select(ident, "alike", F.struct(*[v.alias(k) for k, v in m.items()]).alias("m"), named.alias("named"), heading().alias("heading"), F.lower("text").rlike(DATE_SIGNS).alias("dated"))
+    c = rows.select(ident, "alike", F.struct(*[v.alias(k) for k, v in m.items()]).alias("m"), named.alias("named"), heading().alias("heading"), F.lower("text").rlike(DATED).alias("dated"))
     good = 0.35 * F.col("m.valid_word_ratio") + 0.20 * (1 - F.col("m.odd_char_ratio")) + 0.10 * (1 - F.col("m.short_line_ratio")) + 0.15 * F.col("named") + 0.10 * F.col("heading") + F.when(F.col("dated"), 0.10).otherwise(0.0)
     bad = 0.35 * (1 - F.col("m.valid_word_ratio")) + 0.30 * F.col("m.odd_char_ratio") + 0.20 * F.col("m.short_line_ratio") + F.when(F.col("dated"), 0.0).otherwise(0.08) + F.when(F.col("named") < 0.15, 0.07).otherwise(0.0)
     one = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
@@ -97,9 +98,7 @@ def scanned(e: Evidence) -> DataFrame:
 
 
 def pages(e: Evidence) -> DataFrame:
-    both = scanned(e).where("text is not null")
-    alike = over_texts(both.where("fixed is not null"), "path", ["text", "fixed"], text_likeness).withColumnRenamed("v", "alike")
-    return judged(both.join(alike, "path", "left"), "path")
+    return judged(compared(scanned(e).where("text is not null"), "text", "fixed", "alike"), "path")
 
 
 q("q_historio")(lambda e: documents(e).select("doc_id", "named", "heading", "dated", F.col("historiographic").alias("score")))

@@ -1,10 +1,11 @@
 """Golden rows of quality, selection, model calls, streams and resolution."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import quality as Q
 from foliant.operators import models
-from foliant.plans.judging import judged, new_wins
+from foliant.plans.judging import DATE_SIGNS, DATED, judged, new_wins
 from foliant.plans.resolving import blocked
 
 METRICS = "struct<score:double,valid_word_ratio:double,odd_char_ratio:double,short_line_ratio:double,chars:long>"
@@ -69,3 +70,20 @@ def test_blocking_matches_all_pairs(spark):
     inside = lambda a, b: f" {a} " in f" {b} "
     want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and (inside(a, b) or inside(b, a) or {i, j} == {3, 6})}
     assert got == want
+
+
+def test_dates_are_found_as_by_the_shared_pattern(spark):
+    texts = ["7 de maio de 1825", "x7 de maio de 1825", "ç17 de maio de 18256", "117 de maio de 1825", "17 de maio\nde 1825.", "anno de 1825", "panno de 1825", "anno de 18257", "hoje ha", "_hoje ha", "-hoje\tha", "hoje", "1 17 de m de 1825 x", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(DATED).alias("a"), F.col("t").rlike(DATE_SIGNS).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and {r.a for r in rows} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["q_bad_page", "bench_correct"])
+def test_the_texts_of_pages_are_gathered_once(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    rows = [("a_1.txt", "O governo da provincia\nnomeou", 1), ("a_1_corrigido.txt", "O governo da província\nnomeou", 2), ("a_2.txt", "x7 %%", 1)]
+    spark.createDataFrame(rows, "text_path string, body string, n long").select("text_path", "body", F.timestamp_seconds("n").alias("ingested_at")).write.parquet(f"{tmp_path}/page_texts.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert df.count() == {"q_bad_page": 2, "bench_correct": 1}[name]
