@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["win_evidence_top5", "snk_add_evidence", "snk_dedup_evidence"]
+NAMES = ["win_evidence_top5", "win_evid_top50", "snk_add_evidence", "snk_dedup_evidence"]
 
 
 def tables(at, mentions, relations):
