@@ -426,3 +426,30 @@ def test_many_namesakes_dont_crowd_out_the_person(spark):
 
 def test_words_of_items_have_no_marks():
     assert all(re.fullmatch(r"[a-z0-9]+", w) for w in leakage.item_words("Vigário d'Olinda — n.º 12")[:2])
+
+
+def test_alike_heads_meet_and_few_others_do(spark):
+    """Every pair of heads that are alike is linked, and surnames made of the same syllables, or of one much repeated end, are not compared with each other."""
+    rng = random.Random(11)
+    right = [a + b + c for a in ("bor", "gon", "mal", "tor") for b in ("fari", "dodi", "mele") for c in ("lares", "nhal", "xote")] + ["rego", "paes", "lima", "santaapuliadoportovelho"]
+    heads = sorted({*right, *(edited(rng, h) for h in right for _ in range(4)), *(edited(rng, edited(rng, h)) for h in right for _ in range(4))})
+    want = {(a, b) for a in heads for b in heads if a == b or names.head_likeness(a, b) > 0}
+    frame = spark.createDataFrame([("person", h) for h in heads], "type string, head string")
+    assert {(r["head"], r.other) for r in variants.head_links(frame).collect()} == want
+    keys = {h: set(variants.head_keys(h)) for h in heads}
+    met = sum(bool(keys[a] & keys[b]) for a in heads for b in heads)
+    assert met < 2 * len(want)
+
+
+def test_candidates_meet_under_misread_first_letters(spark):
+    rng = random.Random(12)
+    given = ["joao", "maria", "leandro", "hermenegilda", "felippe", "j.", "l.", "h.", "fran.co", "francisco"]
+    firsts = [rng.choice(given) for _ in range(60)] + [edited(rng, rng.choice(given[:5])) for _ in range(60)] + ["ioao", "pelippe", "nermenegilda"]
+    r = [(i, [f, "rego"], "", None, None, *((1800, 1800) if i % 2 else (None, None)), None) for i, f in enumerate(firsts)]
+    d = [(i, [f, "rego"], "", None, None, *((1850, 1850) if i % 3 else (None, None))) for i, f in enumerate(reversed(firsts))]
+    records = spark.createDataFrame(r, "id long, tokens array<string>, suffix string, father array<string>, places array<string>, b0 int, b1 int, died int")
+    forms = spark.createDataFrame(d, "id long, tokens array<string>, suffix string, fathers array<string>, places array<string>, lo int, hi int")
+    links = spark.createDataFrame([("person", "rego", "rego")], "type string, head string, other string")
+    got = {(x["query"], x.doc) for x in matching.candidates(records, forms, links).collect()}
+    assert {(a[0], b[0]) for a in r for b in d if names.token_likeness(a[1][0], b[1][0]) > 0} <= got
+    assert len(got) < len(r) * len(d) / 2
