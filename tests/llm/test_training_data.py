@@ -453,3 +453,24 @@ def test_candidates_meet_under_misread_first_letters(spark):
     got = {(x["query"], x.doc) for x in matching.candidates(records, forms, links).collect()}
     assert {(a[0], b[0]) for a in r for b in d if names.token_likeness(a[1][0], b[1][0]) > 0} <= got
     assert len(got) < len(r) * len(d) / 2
+
+
+def test_nicknames_of_records_are_replaced(spark):
+    """Three rows say that Zeca is Jose; a record under the nickname is the person of a row that never bears it."""
+    rows = [(i, "person", f"Jose Castro {x}", f'["Zeca Castro {x}"]', None, "1885", "1886") for i, x in enumerate(("Vilmal", "Rego", "Paes"), 1)]
+    rows += [(4, "person", "Jose Mello Ferborante", None, '{"identity_hints": ["family:prudencio bezerra"]}', "1885", "1886")]
+    e = spark.createDataFrame(rows, "id long, type string, canonical_name string, aliases_json string, attributes_json string, first_seen_year string, last_seen_year string")
+    p = whole_parish(spark.createDataFrame([(1, "baptism", "1850", None, "Zeca Mello Ferborante", "Prudencio Bezerra", None, None)], PARISH))
+    m = spark.createDataFrame([], "entity_id long, surface_form string")
+    assert [(r.parish_record_id, r.entity_id) for r in matching.match_people(p, e, m).collect()] == [(1, 4)]
+
+
+def test_pairs_meet_in_one_join(spark):
+    """Each further join of a plan holds threads, broadcasts and plan texts on the driver."""
+    joins = lambda df: sum(df._jdf.queryExecution().optimizedPlan().toString().count(f"Join {k}") for k in ("Inner", "LeftOuter"))
+    n = spark.createDataFrame([], "node long, type string, tokens array<string>, head string, suffix string, lo int, hi int, family string, place string")
+    links = spark.createDataFrame([], "type string, head string, other string")
+    assert joins(variants.near_pairs(n, links, "head", [])) <= 2  # with the links, and of both sides
+    records = spark.createDataFrame([], "id long, tokens array<string>, suffix string, father array<string>, places array<string>, b0 int, b1 int, died int")
+    forms = spark.createDataFrame([], "id long, tokens array<string>, suffix string, fathers array<string>, places array<string>, lo int, hi int")
+    assert joins(matching.candidates(records, forms, links)) <= 4  # with the links, with the letters of each side, and of both sides
